@@ -1,0 +1,41 @@
+"""Connected components of an edge table, by alternating large and small stars; no edge list reaches the driver."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from inkgrid.session import materialise
+
+
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _large(edges: DataFrame) -> DataFrame:
+    both = _both(edges)
+    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+
+
+def _small(edges: DataFrame) -> DataFrame:
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges: u, v (longs, neither null). Gives node, root (the least node it is connected with) for nodes with an edge.
+
+    Every round writes its edges to the shared folder, so a lost executor costs one round at most. The rounds end when
+    the edges, a star around each root, no longer change; their number grows with the logarithm of the nodes.
+    """
+    seen = None
+    edges = materialise(edges.where("u <> v").distinct(), "components")
+    while True:
+        state = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if state == seen or state[0] == 0:
+            break
+        seen, edges = state, materialise(_small(_large(edges)), "components")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
