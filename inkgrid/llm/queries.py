@@ -22,6 +22,16 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "item_id", F.col("matched").cast("long").alias("matched"), F.col("window").cast("long").alias("window"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkgrid.llm.secrets import scan
+
+    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    digest = F.sha2(joined("base"), 256).alias("base_sha256")
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), digest, joined("spans").alias("spans"), F.size("links").cast("long").alias("n_links"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
