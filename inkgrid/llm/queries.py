@@ -72,6 +72,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkgrid.llm.repeats import runs
+
+    return runs(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "n_units", "n_words", "kept_doc_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
