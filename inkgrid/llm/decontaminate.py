@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced seeds.
 
-Texts become lower-case words without their outer punctuation. At every position of benchmark items and documents, each mask
+Texts become lower-case words, cut at white space and punctuation. At every position of benchmark items and documents, each mask
 of MASKS picks some of the following words and ignores the others; equal hashes of the picked words are seed hits, so
 that a hit survives substitutions at ignored positions. Hits of a document and an item at the same offset are one
 alignment. An alignment is an overlap when some window of WINDOW words of the item (the whole item, if shorter) has at
@@ -24,26 +24,33 @@ from inkgrid.llm.text import let, words
 from inkgrid.session import materialise
 
 #: Word positions that each mask looks at.
-MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 5, 6))
+MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 4, 6))
+SPAN = 1 + max(map(max, MASKS))
 WINDOW, SHARE = 20, 0.8
-#: Fixed value: the characters that words lose at either end.
-OUTER = ".,;:!?\"'()[]{}"
+#: Fixed value: what separates words, white space and punctuation.
+CUT = "[\\x20\\x09-\\x0D.,;:!?\"'()\\[\\]{}]+"
 
 
 def tokens(text: Column) -> Column:
-    """The words of a text in lower case, without punctuation at their ends; words of punctuation alone stay as empty."""
-    return F.transform(words(F.lower(text)), lambda w: F.btrim(w, F.lit(OUTER)))
+    """The words of a text in lower case, cut at white space and punctuation."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), CUT), "")
 
 
-def _seeds(t: Column) -> Column:
-    """An array of (at, hash) for every mask and position where the mask fits."""
+def _windows(t: Column) -> Column:
+    """For every position of a token array, a struct of the tokens (hashed) that the masks may look at; null past the end."""
+    return let(F.transform(t, lambda w: F.xxhash64(w)), lambda h: F.arrays_zip(*(F.slice(h, p + 1, F.greatest(F.size(h) - p, F.lit(0))).alias(f"t{p}") for p in range(SPAN))))
 
-    def of(k: int, mask: tuple[int, ...]) -> Column:
-        fits = F.size(t) - mask[-1]
-        hashes = lambda h: F.transform(h, lambda _, i: F.struct(i.alias("at"), F.xxhash64(F.lit(k), *(F.get(h, i + p) for p in mask)).alias("seed")))
-        return F.slice(let(F.transform(t, lambda w: F.xxhash64(w)), hashes), 1, F.greatest(fits, F.lit(0)))
 
-    return F.concat(*(of(k, mask) for k, mask in enumerate(MASKS)))
+def _seeds(df: DataFrame, key: str, t: Column) -> DataFrame:
+    """key, at and one column for every mask: its seed at this position, null where the mask doesn't fit."""
+    at = df.select(key, F.posexplode(_windows(t)).alias("at", "x"))
+    seed = lambda k, mask: F.when(F.col(f"x.t{mask[-1]}").isNotNull(), F.xxhash64(F.lit(k), *(F.col(f"x.t{p}") for p in mask)))
+    return at.select(key, "at", *(seed(k, mask).alias(f"seed{k}") for k, mask in enumerate(MASKS)))
+
+
+def _long(seeds: DataFrame, key: str) -> DataFrame:
+    """key, at, seed: a row for each seed."""
+    return seeds.select(key, "at", F.explode(F.array(*(f"seed{k}" for k in range(len(MASKS))))).alias("seed")).where("seed is not null")
 
 
 def _key(id_: str, text: str) -> Column:
@@ -66,13 +73,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataF
     """doc_id, key (a hash of doc_id and text), item_id, matched (words equal in the best window) and window (its length)."""
     items = benchmark.select("item_id", "text").distinct().select("item_id", _key("item_id", "text").alias("item"), tokens(F.col("text")).alias("words"))
     items = materialise(items, "benchmark-words")
-    seeds = items.select("item", F.explode(_seeds(F.col("words"))).alias("x")).select("item", F.col("x.at").alias("item_at"), "x.seed")
-    seeds = materialise(seeds, "benchmark-seeds")
-    found = docs.select(_key("doc_id", text).alias("key"), F.explode(_seeds(tokens(F.col(text)))).alias("x")).select("key", "x.at", "x.seed")
-    hits = found.where(hit(bitmap(seeds, "seed"), F.col("seed"))).join(seeds, "seed")
+    seeds = materialise(_long(_seeds(items, "item", F.col("words")), "item").withColumnRenamed("at", "item_at"), "benchmark-seeds")
+    bits = bitmap(seeds, "seed")
+    found = _seeds(docs.select(_key("doc_id", text).alias("key"), F.col(text).alias("text")), "key", tokens(F.col("text")))
+    some = F.lit(False)
+    for k in range(len(MASKS)):
+        some = some | hit(bits, F.col(f"seed{k}"))
+    hits = _long(found.where(some), "key").where(hit(bits, F.col("seed"))).join(seeds, "seed")
     lines = materialise(hits.select("key", "item", (F.col("at") - F.col("item_at")).alias("offset")).distinct(), "benchmark-alignments")
-    aligned = lines.join(docs.select("doc_id", _key("doc_id", text).alias("key"), F.col(text).alias("text")).join(lines.select("key").distinct(), "key", "left_semi").distinct(), "key")
-    aligned = aligned.select("key", "doc_id", "item", "offset", tokens(F.col("text")).alias("doc_words")).join(items, "item")
+    texts = docs.select("doc_id", _key("doc_id", text).alias("key"), F.col(text).alias("text")).join(lines.select("key").distinct(), "key", "left_semi").distinct()
+    aligned = lines.join(texts.select("key", "doc_id", tokens(F.col("text")).alias("doc_words")), "key").join(items, "item")
     width = F.least(F.size("words"), F.lit(WINDOW))
     scored = aligned.select("key", "doc_id", "item_id", _best(F.col("words"), F.col("doc_words"), F.col("offset")).alias("matched"), width.alias("window"))
     return scored.where(F.col("matched") >= F.ceil(F.col("window") * SHARE)).groupBy("key", "doc_id", "item_id", "window").agg(F.max("matched").alias("matched"))

@@ -3,14 +3,13 @@ import random
 from inkgrid.llm import decontaminate as D
 
 SF = "/root/testdata/sf0.001"
-SPACES = " \t\n\x0b\x0c\r"
 
 
 def words(text):
     text = (text or "").lower()
-    for s in SPACES:
+    for s in " \t\n\x0b\x0c\r.,;:!?\"'()[]{}":
         text = text.replace(s, " ")
-    return [w.strip(D.OUTER) for w in text.split(" ") if w]
+    return [w for w in text.split(" ") if w]
 
 
 def brute(docs, items):
