@@ -34,6 +34,15 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", count("assign"), count("access"), count("hex"), digest, joined("spans").alias("spans"), F.size("links").cast("long").alias("n_links"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkgrid.llm.text import fold
+    from inkgrid.llm.toxicity import score
+
+    out = score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    ids = F.array_join(F.transform("evidence", lambda e: e.doc_id.cast("string")), ",")
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), ids.alias("evidence"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
