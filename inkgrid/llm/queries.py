@@ -34,6 +34,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", count("assign"), count("access"), count("hex"), digest, joined("spans").alias("spans"), F.size("links").cast("long").alias("n_links"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkgrid.llm.lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkgrid.llm.text import fold
     from inkgrid.llm.toxicity import score
