@@ -137,6 +137,7 @@ def best_by(df: DataFrame, keys: list[str], order: list[Column], score: str | No
 
 def mutual_best(pairs: DataFrame, score: str, eps: float = 0.0) -> DataFrame:
     """pairs: u, v and a score, less being better. Pairs that are each other's best; a tie within eps at either end refuses."""
+    pairs = materialise(pairs, "mutual")
     ends = pairs.select("u", "v", score).unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), score))
     w = Window.partitionBy("u").orderBy(score, "v")
     first = ends.withColumns({"place": F.row_number().over(w), "next": F.lead(score).over(w)})

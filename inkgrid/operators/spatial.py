@@ -7,6 +7,7 @@ once without a distinct. Work grows with the boxes and the pairs that share a ce
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import radians, sin
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,13 +69,26 @@ def touching(df: DataFrame, keys: list[str], tolerance: float, id_: str = "id")
 
 def parallel(df: DataFrame, keys: list[str], most: float, turn: float = 2.0, overlap: float = 0.25, id_: str = "id", least: float = 0.0) -> DataFrame:
     """Pairs of segments within turn degrees, whose lines are least to most apart, that overlap on both by a share of overlap."""
-    s, t = Segment.of("l_"), Segment.of("r_")
-    bent = geo.angle_between(geo.degrees(s), geo.degrees(t), 180)
-    apart = (geo.line_distance(s, t.ax, t.ay) + geo.line_distance(s, t.bx, t.by)) / 2
-    shares = F.least(geo.overlap_fraction(s, t), geo.overlap_fraction(t, s))
-    both = grid_join(df, df, keys, most, on=F.col(f"l_{id_}") < F.col(f"r_{id_}"))
-    both = both.withColumns({"turn": bent, "apart": apart, "share": shares})
-    return both.where((F.col("turn") <= turn) & F.col("apart").between(least, most) & (F.col("share") >= overlap))
+    # lengths and directions are worked out once a segment, which keeps the join's condition small enough to compile well
+    seg = Segment.of()
+    units = df.withColumn("_len", seg.length).withColumns({"_ux": F.try_divide(seg.dx, F.col("_len")), "_uy": F.try_divide(seg.dy, F.col("_len"))})
+
+    def side(u: str, v: str) -> tuple[Column, Column]:
+        """Mean distance of v's ends from u's line, and the share of u in v's shadow."""
+        c = F.col
+        step = lambda e: (c(f"{v}{e}x") - c(f"{u}ax"), c(f"{v}{e}y") - c(f"{u}ay"))
+        (x1, y1), (x2, y2) = step("a"), step("b")
+        away = (F.abs(c(f"{u}_ux") * y1 - c(f"{u}_uy") * x1) + F.abs(c(f"{u}_ux") * y2 - c(f"{u}_uy") * x2)) / 2
+        p, q = c(f"{u}_ux") * x1 + c(f"{u}_uy") * y1, c(f"{u}_ux") * x2 + c(f"{u}_uy") * y2
+        shared = F.greatest(F.lit(0.0), F.least(c(f"{u}_len"), F.greatest(p, q)) - F.greatest(F.lit(0.0), F.least(p, q)))
+        return away, F.try_divide(shared, c(f"{u}_len"))
+
+    (apart, one), (_, other) = side("l_", "r_"), side("r_", "l_")
+    straight = F.abs(F.col("l__ux") * F.col("r__uy") - F.col("l__uy") * F.col("r__ux")) <= sin(radians(turn)) + 1e-12
+    both = grid_join(units, units, keys, most, on=(F.col(f"l_{id_}") < F.col(f"r_{id_}")) & straight)
+    both = both.withColumn("apart", apart).where(F.col("apart").between(least, most) & (one >= overlap) & (other >= overlap))
+    bent = geo.angle_between(geo.degrees(Segment.of("l_")), geo.degrees(Segment.of("r_")), 180)
+    return both.withColumns({"turn": bent, "share": F.least(one, other)}).drop(*(f"{p}_{c}" for p in ("l_", "r_") for c in ("len", "ux", "uy")))
 
 
 def collinear(df: DataFrame, keys: list[str], turn: float = 2.0, offset: float = 0.6, gap: float = 24.0, id_: str = "id") -> DataFrame:

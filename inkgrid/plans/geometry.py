@@ -10,6 +10,7 @@ from inkgrid.functions.geo import Segment
 from inkgrid.operators import graph, islands, pipes, spatial
 from inkgrid.plans.catalogue import query
 from inkgrid.plans.lattice import STROKES, strokes
+from inkgrid.session import materialise
 
 S = STROKES
 #: Wall pairs: same page and layer, both flat or both upright, 1 to 12 apart, overlap of 55 % of both or more.
@@ -179,7 +180,7 @@ def mutual_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BEST} SELECT n AS id, apart, next = apart AS tied FROM ranked WHERE place = 1 AND next IS NOT NULL")
 def tie_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For walls with two partners or more: whether the nearest is refused for a tie."""
-    p = pairs(spark, sf_dir)
+    p = materialise(pairs(spark, sf_dir), "pairs")
     ends = p.select(F.col("u").alias("n"), F.col("v").alias("m"), "apart").unionByName(p.select(F.col("v").alias("n"), F.col("u").alias("m"), "apart"))
     w = Window.partitionBy("n").orderBy("apart", "m")
     ranked = ends.withColumns({"place": F.row_number().over(w), "next": F.lead("apart").over(w)})
@@ -251,7 +252,7 @@ def label_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     JOIN (SELECT n, m FROM (SELECT n, m, apart, row_number() OVER w AS place, lead(apart) OVER w AS next FROM (SELECT u AS n, v AS m, apart FROM pairs UNION ALL SELECT v, u, apart FROM pairs) WINDOW w AS (PARTITION BY n ORDER BY apart, m)) WHERE place = 1 AND (next IS NULL OR next > apart)) b ON b.n = p.v AND b.m = p.u)"""))
 def physical_pipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strokes, their mutual wall pairs as runs, and runs of one width that meet as pipes with their lengths."""
-    runs = graph.mutual_best(pairs(spark, sf_dir), "apart").select(F.col("u").alias("id"), "page", "layer", F.col("apart").alias("width"), F.col("shared").alias("length"))
+    runs = materialise(graph.mutual_best(pairs(spark, sf_dir), "apart"), "runs").select(F.col("u").alias("id"), "page", "layer", F.col("apart").alias("width"), F.col("shared").alias("length"))
     placed = runs.join(strokes(spark, sf_dir).drop("page", "layer"), "id")
     meets = spatial.touching(placed, ["page", "layer", "width"], 20.0)
     named = graph.labelled(runs, meets.select(F.col("l_id").alias("u"), F.col("r_id").alias("v")))

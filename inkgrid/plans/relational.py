@@ -148,13 +148,13 @@ def length_within_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT a.vec_id AS u, b.vec_id AS v, a.label FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
-  WHERE list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: abs(CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))) <= 6.5""")
+  WHERE list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: abs(CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))) <= 7.5""")
 def signature_l1_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signatures of one block at most 6.5 apart in L1."""
+    """Signatures of one block at most 7.5 apart in L1."""
     e = table(spark, sf_dir, "embeddings")
     a, b = (e.select(*(F.col(c).alias(p + c) for c in e.columns)) for p in ("a_", "b_"))
     gap = F.aggregate(F.zip_with("a_embedding", "b_embedding", lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda t, x: t + x)
-    return a.join(b, (F.col("a_label") == F.col("b_label")) & (F.col("a_vec_id") < F.col("b_vec_id"))).where(gap <= 6.5).select(F.col("a_vec_id").alias("u"), F.col("b_vec_id").alias("v"), F.col("a_label").alias("label"))
+    return a.join(b, (F.col("a_label") == F.col("b_label")) & (F.col("a_vec_id") < F.col("b_vec_id"))).where(gap <= 7.5).select(F.col("a_vec_id").alias("u"), F.col("b_vec_id").alias("v"), F.col("a_label").alias("label"))
 
 
 @query("""SELECT 'orders_without_customer' AS "check", count(*) AS offenders, count(*) = 0 AS passed FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)
