@@ -166,5 +166,6 @@ def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that quality() keeps, with docs' own columns; texts are measured again instead of being shuffled."""
     cutoffs = materialise(fit_cutoffs(materialise(measure(docs), "quality-metrics"), labels), "quality-cutoffs")
     m, s = "__inkgrid_m", F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    seen = docs.withColumn(m, metrics(F.col("text")))
+    # a generator, since a filter would otherwise take the place of the projection and measure each text again for every feature
+    seen = docs.select("*", F.explode(F.array(metrics(F.col("text")))).alias(m))
     return seen.where(verdict(seen, cutoffs, s, F.col(m))).select(*(f"`{c}`" for c in docs.columns))
