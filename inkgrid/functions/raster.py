@@ -8,6 +8,9 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+from inkgrid.session import map_arrow
 
 #: Sides and margin of a mask, cells of a signature, passes of thinning, and weights of the glyph distance.
 SIDE, PAD, CELLS, PASSES = 48, 4, 4, 100
@@ -149,10 +152,8 @@ def with_features(glyphs: DataFrame, polylines: str = "polylines") -> DataFrame:
             extra = [pa.array([r[name] for r in rows], t) for name, t, _ in TYPES]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *(name for name, _, _ in TYPES)])
 
-    from pyspark.sql.types import StructType
-
     extra = StructType.fromDDL(", ".join(f"{name} {ddl}" for name, _, ddl in TYPES))
-    return glyphs.mapInArrow(run, StructType([*glyphs.schema.fields, *extra.fields]))
+    return map_arrow(glyphs, run, StructType([*glyphs.schema.fields, *extra.fields]))
 
 
 def classify(glyphs: DataFrame, bank: list[dict], keep: int = 6) -> DataFrame:
@@ -175,10 +176,8 @@ def classify(glyphs: DataFrame, bank: list[dict], keep: int = 6) -> DataFrame:
                 out.append(memo[row["mask"]])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, element)], [*batch.schema.names, "alternatives"])
 
-    from pyspark.sql.types import StructType
-
     extra = StructType.fromDDL("alternatives array<struct<character: string, distance: double>>")
-    return glyphs.mapInArrow(run, StructType([*glyphs.schema.fields, *extra.fields]))
+    return map_arrow(glyphs, run, StructType([*glyphs.schema.fields, *extra.fields]))
 
 
 def assign(costs: np.ndarray, duplicate: float = 0.45, reject: float = 3.4, slots: int = 3) -> list[int]:

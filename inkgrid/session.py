@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def local_session(cpus: int = 8, app: str = "inkgrid", memory: str = "8g") -> SparkSession:
@@ -39,3 +43,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/inkgrid/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a context, so that their Python workers can import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_inkgrid_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="inkgrid-")) / "inkgrid.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._inkgrid_shipped = True
+
+
+def map_arrow(df: DataFrame, f: Callable, schema: StructType | str) -> DataFrame:
+    """df.mapInArrow for functions of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from inkgrid.session import ship
 from inkgrid.sources.pdf import Document
 
 #: Suffixes and words in file names that a blind input must not have.
@@ -107,5 +108,6 @@ class PdfReader(DataSourceReader):
 
 
 def read(spark: SparkSession, path: str, table: str = "objects", **options: str) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(PdfSource)
     return spark.read.format("pdfvector").options(table=table, **options).load(path)

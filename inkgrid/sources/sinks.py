@@ -11,7 +11,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrid.session import materialise
+from inkgrid.session import map_arrow, materialise
 
 QUANTITY = ("designation", "diameter", "horizontal_m", "vertical_m", "total_m", "n_pipes", "state", "reasons", "confidence")
 COLOURS = {"CONFIRMED": "#1a7f37", "HIGH_CONFIDENCE": "#0969da", "AMBIGUOUS": "#bf8700", "INSUFFICIENT": "#8250df", "UNRESOLVED": "#6e7781"}
@@ -86,7 +86,7 @@ def svg(shapes: DataFrame, path: str, width: float, height: float) -> int:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["file"])
 
     dealt = shapes.select("doc_id", "page", "layer", "state", "pts", "label").na.fill("-", ["layer", "label", "state"])
-    return dealt.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "layer", "label").mapInArrow(run, "file string").count()
+    return map_arrow(dealt.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "layer", "label"), run, "file string").count()
 
 
 def _escaped(text: str) -> str:
