@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from inkgrid.session import map_arrow
+
 CACHE = 200_000
 #: Characters of text that are encoded together; a longer text is a group of its own.
 GROUP = 1_000_000
@@ -258,4 +260,4 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
     from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
     schema = StructType([*docs.schema.fields, StructField(ids, BinaryType())] + ([StructField(decoded, StringType())] if decoded else []))
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkgrid.llm.text import fold
-from inkgrid.session import materialise
+from inkgrid.session import map_arrow, materialise
 
 BASE, PROBES, MU = 1.5, 4, 10.0
 MOST_BITS, BITS_EACH, CELL_BYTES, MOST_CELLS = 1 << 29, 6, 4 << 20, 1 << 19
@@ -273,8 +273,8 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     power = lambda x: 1 << max(0, int(np.ceil(np.log2(max(1, x)))))
     cells = min(MOST_CELLS, max(16, power(size / CELL_BYTES)))
     bits = min(MOST_BITS, max(1 << 16, power(size))) // cells
-    dealt = train.mapInArrow(_deal(cells), "order byte, cell int, hashes binary, counts binary").repartition("cell").sortWithinPartitions("cell", "order")
-    table = materialise(dealt.mapInArrow(_gather(bits), "cell int, first int, filter binary, hashes binary, counts binary, n long, total long, by_level array<bigint>"), "lm-counts")
+    dealt = map_arrow(train, _deal(cells), "order byte, cell int, hashes binary, counts binary").repartition("cell").sortWithinPartitions("cell", "order")
+    table = materialise(map_arrow(dealt, _gather(bits), "cell int, first int, filter binary, hashes binary, counts binary, n long, total long, by_level array<bigint>"), "lm-counts")
     n, v, by_level = table.agg(F.sum("total"), F.sum("n"), F.array(*(F.sum(F.get("by_level", F.lit(i))) for i in range(len(LEVELS) + 1)))).first()
     whole, first = np.zeros(bits * cells // 8, np.uint8), np.ones(cells, np.int8)
     for r in table.select("cell", "first", "filter").toLocalIterator():
@@ -290,7 +290,7 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
                 h, c = np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([h[c >= least].tobytes()], pa.binary()), pa.array([c[c >= least].tobytes()], pa.binary())], ["hashes", "counts"])
 
-    kept = table.select("hashes", "counts").mapInArrow(frequent, "hashes binary, counts binary").collect()
+    kept = map_arrow(table.select("hashes", "counts"), frequent, "hashes binary, counts binary").collect()
     top = np.frombuffer(b"".join(r.hashes for r in kept), np.uint64)
     counts = np.frombuffer(b"".join(r.counts for r in kept), np.int64)
     return Model(whole.tobytes(), first, cells, top, counts, n or 0, v or 0), table.select("cell", "hashes", "counts")
@@ -369,11 +369,11 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     model, counts = fit(docs, text)
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_score(broadcast), SCHEMA)
+    rows = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), _score(broadcast), SCHEMA)
     rows = materialise(rows, "lm-scores")
     rest = rows.where("cell is not null").select("cell", F.lit(1).alias("kind"), "hashes", F.col("rows").alias("other"))
     asked = counts.select("cell", F.lit(0).alias("kind"), "hashes", F.col("counts").alias("other")).unionByName(rest)
-    sums = asked.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(_rest(model.mass), "row long, more_known long, more_base double")
+    sums = map_arrow(asked.repartition("cell").sortWithinPartitions("cell", "kind"), _rest(model.mass), "row long, more_known long, more_base double")
     sums = sums.groupBy("row").agg(F.sum("more_known").alias("more_known"), F.sum("more_base").alias("more_base"))
     out = rows.where("row is not null").select("row", "doc_id", "n_tokens", "n_known", "base", "score").join(sums, "row", "left")
     return out.select(

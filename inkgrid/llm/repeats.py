@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgrid.llm.bitmap import bitmap, hit
-from inkgrid.session import materialise
+from inkgrid.session import map_arrow, materialise
 
 MIN_UNIT, MIN_RUN = 4, 25
 UNIT = re.compile(r"[^\n.!?]+")
@@ -70,7 +70,7 @@ def _key(text: str) -> Column:
 def runs(docs: DataFrame, text: str = "text") -> DataFrame:
     """key (a hash of doc_id and text), doc_id, start, end, n_units, n_words and kept_doc_id (the smallest doc_id that keeps one of the units) of every span to remove."""
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    every = materialise(docs.select(_key(text).alias("key"), rank.alias("rank"), F.col(text).alias("text")).mapInArrow(_units, SCHEMA), "repeat-units")
+    every = materialise(map_arrow(docs.select(_key(text).alias("key"), rank.alias("rank"), F.col(text).alias("text")), _units, SCHEMA), "repeat-units")
     counts = every.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
     common = materialise(counts.where("n > 1").select("d1", "d2", "first"), "repeat-digests")
     likely = every.where(hit(bitmap(common, "d1"), F.col("d1")))

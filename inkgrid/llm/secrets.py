@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkgrid.session import map_arrow
+
 #: The base patterns, and the least lengths of an assigned value, an access identifier and a hex run.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -137,4 +139,4 @@ def scan(docs: DataFrame, text: str = "text", base: str = "base", spans: str = "
                 pairs.append([{f"{p}_{e}": s and s[k] for p, s in zip(("identifier", "secret", "endpoint"), link, strict=True) for e, k in (("start", 1), ("end", 2))} for link in links_])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, SPANS), pa.array(every, SPANS), pa.array(pairs, LINKS)], [*batch.schema.names, base, spans, links])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

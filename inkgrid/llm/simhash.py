@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkgrid.llm.components import components
-from inkgrid.session import materialise
+from inkgrid.session import map_arrow, materialise
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 #: Homes of an anchor wanted on average, homes at which an anchor is split, and how many anchors may be split at most.
@@ -60,7 +60,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, rk (a hash of doc_id and text that tells rows apart) and fp of every row."""
     rows = docs.select(F.col("doc_id").cast("long"), row_key(text).alias("rk"), F.col(text).alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, rk long, fp long")
+    return map_arrow(rows, _fingerprints, "doc_id long, rk long, fp long")
 
 
 def row_key(text: str = "text"):
@@ -208,9 +208,9 @@ def links(distinct: DataFrame) -> DataFrame:
             anchor, each = np.unique(_homes(batch.column("fp").to_numpy().view(np.uint64), m)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(each)], ["anchor", "n"])
 
-    large = distinct.mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > most).collect()
-    dealt = distinct.mapInArrow(_deal(m, {r.anchor: -(-r.n // most) for r in large}), "anchor long, part int, visitor boolean, fps binary")
-    return dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "visitor").mapInArrow(_links, "u long, v long")
+    large = map_arrow(distinct, count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > most).collect()
+    dealt = map_arrow(distinct, _deal(m, {r.anchor: -(-r.n // most) for r in large}), "anchor long, part int, visitor boolean, fps binary")
+    return map_arrow(dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "visitor"), _links, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:

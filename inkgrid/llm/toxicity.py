@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from inkgrid.llm.text import fold
-from inkgrid.session import materialise
+from inkgrid.session import map_arrow, materialise
 
 EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 20_000, 1024, 15, 128
 #: A term's least log odds ratio, and its least ratio to its standard error.
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
             counts = [list(Counter(terms(t)).items()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(counts, pa.map_(pa.string(), pa.int64()))], ["doc_id", "toxic", "counts"])
 
-    rows = materialise(chosen.select("doc_id", "toxic", "text").mapInArrow(count, "doc_id long, toxic boolean, counts map<string, bigint>"), "toxic-examples")
+    rows = materialise(map_arrow(chosen.select("doc_id", "toxic", "text"), count, "doc_id long, toxic boolean, counts map<string, bigint>"), "toxic-examples")
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     stands = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     weights = {c: stands.get(c, 0) / sizes[c] if sizes.get(c) else 0.0 for c in (True, False)}
@@ -180,4 +180,4 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", score: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _ in found], pa.float64()), pa.array(why, near)], [*batch.schema.names, score, evidence])
 
     element = StructType([StructField("doc_id", LongType()), StructField("cosine", DoubleType()), StructField("toxic", BooleanType())])
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score, DoubleType()), StructField(evidence, ArrayType(element))]))
+    return map_arrow(docs, run, StructType([*docs.schema.fields, StructField(score, DoubleType()), StructField(evidence, ArrayType(element))]))

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 from pyspark.sql.types import StructType
 
+from inkgrid.session import map_arrow, ship
+
 #: Bytes of the least payload that may be revisited, of a file when the next one begins, and of a partition when read.
 REVISIT, ROLL, RANGE = 1000, 256 << 20, 64 << 20
 #: The WARC-Profile of revisits with equal payload, and the magic and subfield of gzip members.
@@ -82,7 +84,7 @@ def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> in
     # copies has a row for a digest; a digest with many pages is a skewed key of this join only, which adaptive execution splits
     marked = rows.join(copies.select("digest", "last"), "digest", "left")
     marked = marked.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
-    files = [r.file for r in marked.mapInArrow(_writer(path, date), "file string").collect()]
+    files = [r.file for r in map_arrow(marked, _writer(path, date), "file string").collect()]
     system, root = file_system(path)
     system.create_dir(root, recursive=True)
     with system.open_output_stream(f"{root}/_MANIFEST") as out:
@@ -315,6 +317,7 @@ def _next_member(f: pa.NativeFile, start: int, end: int) -> int | None:
 def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """The records of the WARC files in path, with predicate pushdown on."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    ship(spark)
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").options(**options).load(path)
 
