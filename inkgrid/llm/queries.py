@@ -90,7 +90,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkgrid.llm.repeats import runs
 
-    return runs(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "n_units", "n_words", "kept_doc_id")
+    return runs(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "n_units", "n_words", "kept_doc_ids")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from inkgrid.llm.bitmap import bitmap, hit
 from inkgrid.session import map_arrow, materialise
 
-MIN_UNIT, MIN_RUN = 4, 25
+MIN_UNIT, MIN_RUN = 4, 30
 UNIT = re.compile(r"[^\n.!?]+")
 LAST = 2**63 - 1
 NAMES = ("key", "rank", "at", "start", "end", "words", "d1", "d2", "again")
@@ -68,7 +68,7 @@ def _key(text: str) -> Column:
 
 
 def runs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """key (a hash of doc_id and text), doc_id, start, end, n_units, n_words and kept_doc_id (the smallest doc_id that keeps one of the units) of every span to remove."""
+    """key (a hash of doc_id and text), doc_id, start, end, n_units, n_words and kept_doc_ids (of the documents that keep its units) of every span to remove."""
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     every = materialise(map_arrow(docs.select(_key(text).alias("key"), rank.alias("rank"), F.col(text).alias("text")), _units, SCHEMA), "repeat-units")
     counts = every.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
@@ -76,10 +76,14 @@ def runs(docs: DataFrame, text: str = "text") -> DataFrame:
     likely = every.where(hit(bitmap(common, "d1"), F.col("d1")))
     repeats = likely.join(common, ["d1", "d2"]).where("again or rank > first").groupBy("key", "rank", "at", "start", "end", "words").agg(F.min("first").alias("first"))
     order = Window.partitionBy("key").orderBy("at")
-    found = repeats.withColumn("run", F.col("at") - F.row_number().over(order)).groupBy("key", "rank", "run")
-    spans = found.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_units"), F.sum("words").alias("n_words"), F.min("first").alias("first"))
-    number = lambda c: F.when(F.col(c) < LAST, F.col(c))
-    return spans.where(F.col("n_words") >= MIN_RUN).select("key", number("rank").alias("doc_id"), "start", "end", "n_units", "n_words", number("first").alias("kept_doc_id"))
+    found = repeats.withColumn("run", F.col("at") - F.row_number().over(order))
+    # a keeper at a time, then a run: the documents that keep a good part of the run are named, or the one that keeps most
+    parts = found.groupBy("key", "rank", "run", "first").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_units"), F.sum("words").alias("n_words"))
+    keepers = F.array_sort(F.collect_list(F.struct((-F.col("n_words")).alias("less"), "first")))
+    spans = parts.groupBy("key", "rank", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_units").alias("n_units"), F.sum("n_words").alias("n_words"), keepers.alias("keepers"))
+    number = lambda c: F.when(c < LAST, c)
+    kept = F.array_sort(F.transform(F.filter("keepers", lambda k, i: (i == 0) | (-k.less >= MIN_RUN / 2)), lambda k: number(k["first"])))
+    return spans.where(F.col("n_words") >= MIN_RUN).select("key", number(F.col("rank")).alias("doc_id"), "start", "end", "n_units", "n_words", kept.alias("kept_doc_ids"))
 
 
 def drop_repeats(docs: DataFrame, text: str = "text", removed: str | None = None) -> DataFrame:
