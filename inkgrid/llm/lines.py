@@ -59,12 +59,14 @@ def boilerplate(docs: DataFrame, text: str = "text") -> DataFrame:
     judged = each.join(usual, ["leaf", "at", "token"], "left")
     constant = F.coalesce("usual", F.lit(False))
     pattern = F.bit_xor(F.xxhash64("at", F.when(constant, F.col("token")).otherwise(F.lit(0)), constant))
-    templates = judged.groupBy("leaf", "line").agg(pattern.alias("template"), (F.count_if(constant) >= MIN_CONSTANT * F.count(F.lit(1))).alias("firm"))
-    placed = materialise(found.select("key", "doc_id", "line_no", "leaf", "line").join(templates.where("firm").select("leaf", "line", "template"), ["leaf", "line"]).drop("line"), "line-templates")
+    firm = judged.groupBy("leaf", "line").agg(pattern.alias("template"), (F.count_if(constant) >= MIN_CONSTANT * F.count(F.lit(1))).alias("firm"))
+    # written first, so that the join reads two plain shuffles, of which adaptive execution can split those of common lines
+    templates = materialise(firm.where("firm").select("leaf", "line", "template"), "line-patterns")
+    placed = materialise(found.select("key", "doc_id", "line_no", "leaf", "line").join(templates, ["leaf", "line"]).drop("line"), "line-templates")
 
     by_doc = placed.groupBy("leaf", "template", "key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
     recurring = by_doc.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")).where(F.col("n") >= MIN_DOCS)
-    drop = placed.join(recurring.drop("n"), ["leaf", "template"]).where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
+    drop = placed.join(materialise(recurring.drop("n"), "line-recurring"), ["leaf", "template"]).where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
     return drop.groupBy("key").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
