@@ -33,7 +33,7 @@ BASE, PROBES, MU = 1.5, 4, 10.0
 MOST_BITS, BITS_EACH, CELL_BYTES, MOST_CELLS = 1 << 29, 6, 4 << 20, 1 << 19
 TOP = 1 << 20
 #: Bytes of text that are scored together, and tokens whose counts a task adds up before it deals them out.
-GROUP, DEAL = 1 << 20, 1 << 20
+GROUP, DEAL = 1 << 19, 1 << 19
 U = np.uint64
 R = 0x9E3779B97F4A7C15 | 5
 END = U(0x2545F4914F6CDD1D)
@@ -67,7 +67,7 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The 64-bit hash and the start of every word of a lower-case text; a polynomial over its bytes, mixed."""
     found, starts, at = [], [], 0
     while at < len(raw):
-        cut = min(at + 2 * GROUP, len(raw))
+        cut = min(at + GROUP, len(raw))
         while cut < len(raw) and not WHITE[raw[cut]]:
             cut += 1
         piece = np.frombuffer(raw, np.uint8, cut - at, at)
@@ -82,13 +82,13 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(found), np.concatenate(starts)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def groups(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def groups(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Groups of texts: the first one's position, their tokens (each text's end too) and where each text's tokens begin, with the total last."""
     at = 0
     while at < len(texts):
         parts, size, i = [], 0, at
         while i < len(texts) and size < GROUP:
-            parts.append((texts[i] or "").encode("utf-8", "replace").lower())
+            parts.append((texts[i].as_py() or "").encode("utf-8", "replace").lower())
             size += len(parts[-1]) + 1
             i += 1
         words, starts = word_hashes(b" ".join(parts))
@@ -203,7 +203,7 @@ def _deal(cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, size = ([], []), 0
         for batch in batches:
-            for _, tokens, begins in groups(batch.column("text").to_pylist()):
+            for _, tokens, begins in groups(batch.column("text")):
                 seen[0].append(tokens)
                 seen[1].append(pairs(tokens, begins))
                 size += len(tokens)
@@ -309,7 +309,7 @@ def _score(broadcast):
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for at, tokens, begins in groups(batch.column("text").to_pylist()):
+            for at, tokens, begins in groups(batch.column("text")):
                 texts = len(begins) - 1
                 own = number + np.arange(texts)
                 number += texts
