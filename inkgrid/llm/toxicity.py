@@ -74,7 +74,8 @@ class Index:
             for t, w in query:
                 i, j = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
                 scores[self.place[i:j] - b * BLOCK] += w * self.weight[i:j]
-            some = [(round(s, 12), self.order[b * BLOCK + p]) for p, s in enumerate(scores.tolist()) if s > 0 and self.order[b * BLOCK + p] != but]
+            least = best[-1][0] - 1e-12 if len(best) == k else 0.0
+            some = [(round(float(scores[p]), 12), i) for p in np.flatnonzero(scores > least).tolist() if (i := self.order[b * BLOCK + p]) != but]
             best = sorted(best + some, key=lambda x: (-x[0], x[1]))[:k]
         return best
 
