@@ -68,4 +68,8 @@ def _decontaminate() -> str:
 SELECT doc_id, item_id, CAST(max(matched) AS BIGINT) AS matched, CAST(width AS BIGINT) AS "window" FROM best WHERE matched >= ceil(width * {decontaminate.SHARE}) GROUP BY doc_id, item_id, width"""
 
 
-SQL: dict[str, str] = {"op1_decontamination": _decontaminate(), "op8_line_dedup": _lines(), "op9_quality_rules": _quality()}
+WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), g AS (SELECT h, max(page_id) AS last, count(*) AS n FROM p WHERE strlen(h) >= 1000 GROUP BY h HAVING count(*) > 1),
+  r AS (SELECT page_id, p.h, CASE WHEN page_id <> last THEN last END AS refers_to FROM p LEFT JOIN g ON g.h = p.h)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r"""
+
+SQL: dict[str, str] = {"op1_decontamination": _decontaminate(), "op7_warc": WARC, "op8_line_dedup": _lines(), "op9_quality_rules": _quality()}

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgrid.llm.components import components
+from inkgrid.operators.graph import components
 from inkgrid.session import map_arrow, materialise
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
