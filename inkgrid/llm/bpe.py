@@ -15,6 +15,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
@@ -27,6 +28,8 @@ from inkgrid.session import map_arrow
 CACHE = 200_000
 #: Characters of text that are encoded together; a longer text is a group of its own.
 GROUP = 1_000_000
+#: Symbols up to which merging scans all pairs instead of keeping a heap.
+SHORT = 40
 #: Pieces longer than this are not kept in the cache.
 LONG = 64
 NEVER = np.int64(2**40)
@@ -74,6 +77,10 @@ class Vocabulary:
         self.chars = byte_characters()
         self.proposable = self._reachable()
         self.longest = max(map(len, self.proposable), default=1)
+        self.reach: dict[str, int] = {}  # the longest token by its first two characters
+        for token in self.proposable:
+            if len(token) > 1:
+                self.reach[token[:2]] = max(self.reach.get(token[:2], 0), len(token))
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.merged = 0
@@ -124,12 +131,13 @@ class Vocabulary:
 
     def propose(self, word: str) -> list[int] | None:
         """Greedy longest match, or None where it comes to an end that is no token."""
-        out, i, n, known = [], 0, len(word), self.proposable
+        out, i, n, known, reach, suffix = [], 0, len(word), self.proposable, self.reach, self.suffix
+        inner = n - (suffix != "")
         while i < n:
-            if (t := known.get(word[i:] + self.suffix)) is not None:
+            if n - i <= self.longest and (t := known.get(word[i:] + suffix)) is not None:
                 out.append(t)
                 return out
-            for j in range(min(n - (self.suffix != ""), i + self.longest), i, -1):
+            for j in range(min(inner, i + reach.get(word[i : i + 2], 1)), i, -1):
                 if (t := known.get(word[i:j])) is not None:
                     out.append(t)
                     i = j
@@ -142,6 +150,8 @@ class Vocabulary:
         """Exact merging: the pair of lowest rank first, of equal ranks the leftmost."""
         self.merged += 1
         ids = [self.ids[c] for c in word[:-1]] + [self.ids[word[-1] + self.suffix]]
+        if len(ids) <= SHORT:
+            return self._merge_short(ids)
         after, before = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
         heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := self.ranks.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -159,6 +169,20 @@ class Vocabulary:
                     heapq.heappush(heap, (r, p, ids[p], ids[q]))
         return [t for t in ids if t >= 0]
 
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """The same for a few symbols: the least rank by a scan."""
+        rank, made, never = self.ranks.get, self.made, len(self.ranks)
+        ranks = [rank(pair, never) for pair in pairwise(ids)]
+        while ranks and (least := min(ranks)) < never:
+            i = ranks.index(least)
+            ids[i : i + 2] = [made[ids[i], ids[i + 1]]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), never)
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), never)
+        return ids
+
     def resolve(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece, packed."""
         words = ["".join(map(self.chars.__getitem__, p.encode("utf-8", "replace"))) for p in pieces]
