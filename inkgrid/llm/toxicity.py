@@ -162,9 +162,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     telling = by_term.select("term", a + b, odds.alias("odds"), F.abs(odds / error).alias("z")).toDF("term", "n", "odds", "z")
     best = telling.where((F.abs("odds") >= ODDS) & (F.col("z") >= SIGNIFICANCE)).orderBy(F.desc("z"), "term").limit(TERMS).collect()
     vocabulary = {r.term: (i, 1 + log((1 + n_a + n_b) / (1 + r.n))) for i, r in enumerate(best)}
-    words = F.array(*map(F.lit, vocabulary)) if vocabulary else F.expr("cast(array() as array<string>)")
-    kept = F.map_filter("counts", lambda t, _: F.array_contains(words, t))
-    examples = [(r.doc_id, r.toxic, r.counts) for r in rows.select("doc_id", "toxic", kept.alias("counts")).orderBy("doc_id").collect()]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [[(t, n) for t, n in c if t in vocabulary] for c in batch.column("counts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(counts, pa.map_(pa.string(), pa.int64()))], ["doc_id", "toxic", "counts"])
+
+    kept = map_arrow(rows, keep, rows.schema)
+    examples = [(r.doc_id, r.toxic, r.counts) for r in kept.orderBy("doc_id").collect()]
     return Model(vocabulary, examples, weights)
 
 
