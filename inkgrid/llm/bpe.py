@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from inkgrid.session import map_arrow
 
-CACHE = 200_000
+CACHE = 400_000
 #: Characters of text that are encoded together; a longer text is a group of its own.
 GROUP = 1_000_000
 #: Symbols up to which merging scans all pairs instead of keeping a heap.
