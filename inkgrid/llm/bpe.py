@@ -268,7 +268,11 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
-    """docs with a binary column ids (packed token ids) and, if named, the text that those ids decode to."""
+    """docs with a binary column ids (packed token ids) and, if named, the text that those ids decode to.
+
+    Columns of docs that have these names already are replaced.
+    """
+    docs = docs.drop(ids, *([decoded] if decoded else []))
     spec = docs.sparkSession.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,6 +73,7 @@ def boilerplate(docs: DataFrame, text: str = "text") -> DataFrame:
 def drop_boilerplate(docs: DataFrame, text: str = "text", dropped: str | None = None) -> DataFrame:
     """docs with the boilerplate lines taken out of text; dropped names a column for their numbers, if wanted."""
     key, gone = "__inkgrid_key", "__inkgrid_dropped"
+    docs = docs.drop(dropped) if dropped else docs
     lost = boilerplate(docs, text).withColumnsRenamed({"key": key, "dropped": gone})
     both = docs.withColumn(key, _key(text)).join(lost, key, "left")
     lines = F.split(F.col(text), "\n")

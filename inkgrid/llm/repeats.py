@@ -89,6 +89,7 @@ def runs(docs: DataFrame, text: str = "text") -> DataFrame:
 def drop_repeats(docs: DataFrame, text: str = "text", removed: str | None = None) -> DataFrame:
     """docs with the spans cut out of text; removed names a column for them (start, end), if wanted."""
     key, gone = "__inkgrid_key", "__inkgrid_spans"
+    docs = docs.drop(removed) if removed else docs
     spans = runs(docs, text).groupBy(F.col("key").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(gone))
     both = docs.withColumn(key, _key(text)).join(spans, key, "left")
     t = F.col(text)

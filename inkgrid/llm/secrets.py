@@ -121,7 +121,11 @@ LINKS = pa.list_(pa.struct([(f"{part}_{edge}", pa.int64()) for part in ("identif
 
 
 def scan(docs: DataFrame, text: str = "text", base: str = "base", spans: str = "spans", links: str = "links") -> DataFrame:
-    """docs with arrays of (kind, start, end): base, and spans with the linked weak ones too, by start and kind; and links."""
+    """docs with arrays of (kind, start, end): base, and spans with the linked weak ones too, by start and kind; and links.
+
+    Columns of docs that have these names already are replaced.
+    """
+    docs = docs.drop(base, spans, links)
     schema = docs.withColumns({
         base: F.expr("cast(null as array<struct<kind: string, start: bigint, end: bigint>>)"), spans: F.expr("cast(null as array<struct<kind: string, start: bigint, end: bigint>>)"),
         links: F.expr(f"cast(null as array<struct<{', '.join(f'{f.name}: bigint' for f in LINKS.value_type)}>>)"),

@@ -174,7 +174,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
 
 
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", score: str = "score", evidence: str = "evidence") -> DataFrame:
-    """docs with a toxicity score and the nearest EVIDENCE examples: doc_id, cosine and whether they are toxic."""
+    """docs with a toxicity score and the nearest EVIDENCE examples: doc_id, cosine and whether they are toxic.
+
+    Columns of docs that have these names already are replaced.
+    """
+    docs = docs.drop(score, evidence)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text))
     near = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.bool_())]))
 
