@@ -8,6 +8,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark():
-    from inkgrid.session import local_session
+    from inkgrid.session import clean, local_session
 
-    return local_session(8, "inkgrid-tests")
+    session = local_session(8, "inkgrid-tests")
+    yield session
+    clean(session)
