@@ -16,13 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkgrid.llm.text import SPACE, SPACES, let, words
+from inkgrid.llm.text import let, words
 from inkgrid.session import materialise
 
 ALPHA, DELTA = 0.05, 0.05
 #: What rejecting a share of the good documents costs, against the same share of the bad.
 COST = 10
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: A character of a word, and the symbols.
+WORD, SYMBOLS = "[^\\x20\\x09-\\x0D]", "[#*$%&|<>]"
 #: Cutoffs by feature; a document is rejected when its feature reaches the cutoff.
 GRID = {
     "symbol_permille": [2, 5, 10, 20, 30, 50, 75, 100, 150, 200, 300],
@@ -72,7 +74,8 @@ def metrics(text: Column) -> Column:
         dup = filled - F.size(F.array_distinct(x.lines))
         n = F.size(x.w)
         per = lambda scale, a, b: F.floor(scale * a / F.greatest(b, F.lit(1))).cast("long")
-        counts = F.struct(n.cast("long").alias("n"), x.c.cast("long").alias("c"), x.s.cast("long").alias("s"), dup.cast("long").alias("d"), _repeat_words(x.w).alias("r"), filled.alias("f"))
+        chars = F.char_length(F.array_join(x.w, ""))
+        counts = F.struct(n.cast("long").alias("n"), chars.cast("long").alias("c"), x.s.cast("long").alias("s"), dup.cast("long").alias("d"), _repeat_words(x.w).alias("r"), filled.alias("f"))
         return let(
             counts,
             lambda k: F.struct(
@@ -84,9 +87,9 @@ def metrics(text: Column) -> Column:
 
     parts = F.struct(
         words(text).alias("w"),
-        F.filter(F.split(text, "\n"), lambda line: F.translate(line, SPACES, "") != "").alias("lines"),
-        F.char_length(F.translate(text, SPACES, "")).alias("c"),
-        (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).alias("s"),
+        F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD)).alias("lines"),
+        # most texts have no symbol, and need no second look
+        F.when(text.rlike(SYMBOLS), F.char_length(text) - F.char_length(F.regexp_replace(text, SYMBOLS, ""))).otherwise(0).alias("s"),
     )
     return let(parts, measured)
 
