@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 #: The separators between words, as a Java and RE2 character class.
 SPACE = "[\\x20\\x09-\\x0D]"
-SPACES = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -18,11 +16,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def ascii_lower(text: Column) -> Column:
-    """text with A-Z in lower case and every other character as it is."""
-    return F.translate(text, UPPER, LOWER)
-
-
 def words(text: Column) -> Column:
     """The maximal runs of characters outside SPACE; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
