@@ -52,18 +52,17 @@ class Nearest:
         self.end_keys = [s[2] for s in self.ends]
 
     def to(self, span: Span) -> Span | None:
-        """The nearest span that doesn't overlap this one; of two as near, the earlier."""
+        """The nearest of those that doesn't overlap this one; of two as near, the earlier."""
         _, start, end = span
         scope = bisect.bisect_right(self.scopes, start)
+        near = lambda s: max(s[1] - end, start - s[2]) <= REACH and bisect.bisect_right(self.scopes, s[1]) == scope
         best = None
         i = bisect.bisect_right(self.end_keys, start) - 1
-        if i >= 0:
+        if i >= 0 and near(self.ends[i]):
             best = self.ends[i]
         j = bisect.bisect_left(self.start_keys, end)
-        if j < len(self.starts) and (best is None or self.starts[j][1] - end < start - best[2]):
+        if j < len(self.starts) and near(self.starts[j]) and (best is None or self.starts[j][1] - end < start - best[2]):
             best = self.starts[j]
-        if best is None or max(best[1] - end, start - best[2]) > REACH or bisect.bisect_right(self.scopes, best[1]) != scope:
-            return None
         return best
 
 
