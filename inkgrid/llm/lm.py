@@ -1,16 +1,19 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Training documents are those whose fold of five is not 1. Their tokens (words in lower case, then one end a document)
-and pairs of adjacent tokens are counted exactly: tasks add up what they read, and blocks of counts are dealt out by
-cells of the hash space, whose number follows the bytes of text. Each cell then writes its part of the filter: a
-count of level q (levels grow by about BASE) enters the filter as the entries 1 to q, so that a count is read by probing
-level after level until one is absent. Bits follow the bytes of text too, up to MOST_BITS, which bounds the broadcast;
-where the pairs of a cell have more entries than its bits hold at BITS_EACH, the lowest levels of pairs (singletons first) are
-left out there, and the cell notes the first level it holds. Tokens always enter.
+and pairs of adjacent tokens are counted exactly: tasks add up what they read, and one aggregation by cell of the hash
+space, whose cells follow the bytes of text, adds up the rest. Each cell then writes its part of the filter: a count of
+level q (levels grow by about BASE) enters the filter as the entries 1 to q, so that a count is read by probing level
+after level until one is absent. A cell's part has BITS_EACH bits for each of its entries, whatever their number, so the
+filter grows with the corpus, its false positives don't, and nothing is left out at any size.
+
+A filter of at most BROADCAST bytes goes to every worker whole, which probes it as it reads texts. A larger one stays in
+its cells: each distinct token and pair is sent to its cell once and probed there, and the levels found are joined back
+to the groups of texts that hold them. Both ways read the same levels, and so give the same scores.
 
 Scores: p(w | h) = (c(h w) + MU * p(w)) / (c(h) + MU) and p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), all c read from the
-filter, a pair's never above its tokens'; h of the first word is the end of a text. The base score uses exact counts: those of the
-TOP most frequent tokens are broadcast (12 bytes each), the others' are joined by cell.
+filter, a pair's never above its tokens'; h of the first word is the end of a text. The base score uses exact counts: those of
+at most TOP of the most frequent tokens are broadcast (16 bytes each), the others' are joined.
 
 Null texts are empty: one token, the end. With no training documents all counts are 0. Rows are told apart by their
 place in a task's output, so repeated rows and null ids are scored each on its own.
@@ -23,17 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgrid.llm.text import fold
 from inkgrid.session import map_arrow, materialise
 
 BASE, PROBES, MU = 1.5, 4, 10.0
-MOST_BITS, BITS_EACH, CELL_BYTES, MOST_CELLS = 1 << 29, 6, 4 << 20, 1 << 19
+#: Bits for each entry of the filter, bytes of text to a cell, and the largest filter (with 16 bytes a cell) that is broadcast.
+BITS_EACH, CELL_BYTES, BROADCAST = 10, 1 << 18, 128 << 20
 TOP = 1 << 20
-#: Bytes of text that are scored together, and tokens whose counts a task adds up before it deals them out.
-GROUP, DEAL = 1 << 19, 1 << 19
+#: Bytes of text that are scored together, tokens whose counts a task adds up before it deals them out, and rows of a batch.
+GROUP, DEAL, ROWS = 1 << 19, 1 << 20, 1 << 15
 U = np.uint64
 R = 0x9E3779B97F4A7C15 | 5
 END = U(0x2545F4914F6CDD1D)
@@ -125,137 +129,129 @@ def level(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(LEVELS, counts, side="right")
 
 
-def places(h: np.ndarray, q: np.ndarray | int, bits: int) -> list[np.ndarray]:
-    """The bits, within a cell of bits (a power of two), of the entries (h, q)."""
+def places(h: np.ndarray, q: np.ndarray | int, bits: np.ndarray | int) -> list[np.ndarray]:
+    """The bits, within a cell of so many bits, of the entries (h, q)."""
     g = mix(h + np.asarray(q).astype(np.uint64) * U(0x9E3779B97F4A7C15))
     low, high = g & U(0xFFFFFFFF), (g >> U(32)) | U(1)
-    return [((low + U(i) * high) & U(bits - 1)).astype(np.int64) for i in range(PROBES)]
+    size = np.asarray(bits).astype(np.uint64)
+    return [((low + U(i) * high) % size).astype(np.int64) for i in range(PROBES)]
 
 
-def write_cell(tokens: tuple[np.ndarray, np.ndarray], pairs_: tuple[np.ndarray, np.ndarray], bits: int) -> tuple[bytes, int]:
-    """A cell's part of the filter, and the first level of pairs that it holds."""
-    q1, q2 = level(tokens[1]), level(pairs_[1])
-    first, room = 1, bits / BITS_EACH - q1.sum()
-    while np.maximum(q2 - first + 1, 0).sum() > room and (q2 >= first).any():
-        first += 1
+def write_cell(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    """A cell's part of the filter, of whole words of 64 bits."""
+    reached = level(counts)
+    bits = 64 * max(1, -(-BITS_EACH * int(reached.sum()) // 64))
     filled = np.zeros(bits, bool)
-    for h, q, low in ((tokens[0], q1, 1), (pairs_[0], q2, first)):
-        for j in range(low, int(q.max(initial=0)) + 1):
-            for p in places(h[q >= j], j, bits):
-                filled[p] = True
-    return np.packbits(filled, bitorder="little").tobytes(), first
+    for j in range(1, int(reached.max(initial=0)) + 1):
+        for p in places(hashes[reached >= j], j, bits):
+            filled[p] = True
+    return np.packbits(filled, bitorder="little").tobytes()
 
 
 class Filter:
-    """The whole filter, as workers probe it."""
-
-    def __init__(self, bits: bytes, first: np.ndarray, cells: int) -> None:
-        self.bytes, self.first, self.cells = np.frombuffer(bits, np.uint8), first, cells
-        self.bits = len(bits) * 8 // cells
-
-    def read(self, h: np.ndarray, pair: bool) -> np.ndarray:
-        """The counts that the filter holds for hashes, by repeated membership probes."""
-        cell = cell_of(h, self.cells)
-        q = self.first[cell].astype(np.int64) if pair else np.ones(len(h), np.int64)
-        reached = np.zeros(len(h), np.int64)
-        open_ = np.arange(len(h))
-        base = cell * (self.bits // 8)
-        while len(open_):
+    """Cells of the filter, as workers probe them: bits has the parts one after the other, starts where each begins (bytes), with the total last."""
+
+    def __init__(self, bits: bytes, starts: np.ndarray) -> None:
+        self.bytes, self.starts = np.frombuffer(bits, np.uint8), starts
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """The levels that the filter holds for hashes, by repeated membership probes; 0 for a hash of a cell without entries."""
+        cell = cell_of(h, len(self.starts) - 1)
+        base, bits = self.starts[cell], 8 * (self.starts[cell + 1] - self.starts[cell])
+        reached = np.zeros(len(h), np.int8)
+        open_ = np.flatnonzero(bits > 0)
+        q = 1
+        while len(open_) and q < len(READ):
             there = np.ones(len(open_), bool)
-            for p in places(h[open_], q[open_], self.bits):
+            for p in places(h[open_], q, bits[open_]):
                 there &= (self.bytes[base[open_] + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 == 1
             open_ = open_[there]
-            reached[open_] = q[open_]
-            q[open_] += 1
-            open_ = open_[q[open_] < len(READ)]
-        return READ[reached]
+            reached[open_] = q
+            q += 1
+        return reached
 
 
 def cell_of(h: np.ndarray, cells: int) -> np.ndarray:
     return (h >> U(64 - (cells.bit_length() - 1))).astype(np.int64) if cells > 1 else np.zeros(len(h), np.int64)
 
 
-def add_up(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(hashes):
-        return hashes, counts
-    order = np.argsort(hashes, kind="stable")
-    hashes = hashes[order]
-    first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
-    return hashes[first], np.add.reduceat(counts[order], first)
-
-
-def _deal(cells: int):
-    """Counts of tokens (1) and pairs (2) of texts, as rows order, cell, hashes, counts."""
-
-    def rows(order: int, seen: list[np.ndarray]) -> Iterator[tuple]:
-        hashes, counts = np.unique(np.concatenate(seen), return_counts=True)
-        cuts = np.searchsorted(cell_of(hashes, cells), np.arange(cells + 1))
-        for cell in np.flatnonzero(np.diff(cuts)).tolist():
-            a, b = cuts[cell], cuts[cell + 1]
-            yield order, cell, hashes[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()
-
-    def flush(seen: tuple[list, list]) -> Iterator[pa.RecordBatch]:
-        out = [*rows(1, seen[0]), *rows(2, seen[1])]
-        types = (pa.int8(), pa.int32(), pa.binary(), pa.binary())
-        for i in range(0, len(out), 1024):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 1024], strict=True), types, strict=True)], ["order", "cell", "hashes", "counts"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, size = ([], []), 0
-        for batch in batches:
-            for _, tokens, begins in groups(batch.column("text")):
-                seen[0].append(tokens)
-                seen[1].append(pairs(tokens, begins))
-                size += len(tokens)
-                if size >= DEAL:
-                    yield from flush(seen)
-                    seen, size = ([], []), 0
-        if size:
-            yield from flush(seen)
-
-    return run
+def cell_column(cells: int) -> Column:
+    """cell_of for a column h of signed longs."""
+    return F.shiftrightunsigned("h", 64 - (cells.bit_length() - 1)).cast("long") if cells > 1 else F.lit(0).cast("long")
 
 
-def _gather(bits: int):
-    """Adds up the counts of each cell (rows come sorted by cell and order) and writes its part of the filter."""
+def batches_of(columns: list[np.ndarray], types: tuple, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(columns[0]), ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + ROWS], t) for c, t in zip(columns, types, strict=True)], names)
 
-    def done(cell: int, seen: dict[int, tuple[list, list]]) -> pa.RecordBatch:
-        both = []
-        for order in (1, 2):
-            hashes, counts = seen.get(order, ([], []))
-            h = np.frombuffer(b"".join(hashes), np.uint64)
-            both.append(add_up(h, np.frombuffer(b"".join(counts), "<u4").astype(np.int64)))
-        (tokens, counts), _ = both
-        filled, first = write_cell(*both, bits)
-        top = np.bincount(level(counts), minlength=len(LEVELS) + 1)
-        row = (cell, first, filled, tokens.tobytes(), counts.tobytes(), len(tokens), int(counts.sum()), top.tolist())
-        types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["cell", "first", "filter", "hashes", "counts", "n", "total", "by_level"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, seen = None, {}
-        for batch in batches:
-            for order, cell, hashes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at is not None and cell != at:
-                    yield done(at, seen)
-                    seen = {}
-                at = cell
-                held = seen.setdefault(order, ([], []))
-                held[0].append(hashes)
-                held[1].append(counts)
-        if at is not None:
-            yield done(at, seen)
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows pair, h, n: how often each token (pair is false) and each pair of tokens occurs in some of the texts."""
 
-    return run
+    def flush(seen: tuple[list, list]) -> Iterator[pa.RecordBatch]:
+        for pair in (False, True):
+            h, n = np.unique(np.concatenate(seen[pair]), return_counts=True)
+            seen[pair].clear()
+            yield from batches_of([np.full(len(h), pair), h.view(np.int64), n], (pa.bool_(), pa.int64(), pa.int64()), ["pair", "h", "n"])
+
+    seen, size = ([], []), 0
+    for batch in batches:
+        for _, tokens, begins in groups(batch.column("text")):
+            seen[0].append(tokens)
+            seen[1].append(pairs(tokens, begins))
+            size += len(tokens)
+            if size >= DEAL:
+                yield from flush(seen)
+                size = 0
+    if size:
+        yield from flush(seen)
+
+
+CELLS = "cell long, filter binary, h long, n long"
+
+
+def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by cell: a row (cell, filter) for each cell, and a row (cell, h, n) for every token."""
+    types, names = (pa.int64(), pa.binary(), pa.int64(), pa.int64()), ["cell", "filter", "h", "n"]
+
+    def done(cell: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, h, n = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("pair", "h", "n"))
+        filled = write_cell(h.view(np.uint64), n)
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((cell, filled, None, None), types, strict=True)], names)
+        h, n = h[~pair], n[~pair]
+        for i in range(0, len(h), ROWS):
+            m = len(h[i : i + ROWS])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, cell)), pa.nulls(m, pa.binary()), pa.array(h[i : i + ROWS]), pa.array(n[i : i + ROWS])], names)
+
+    for cell, held in by_key(batches, "cell"):
+        yield from done(cell, held)
+
+
+def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Each value of a column by which the rows are sorted, with its rows as slices of batches."""
+    at, held = None, []
+    for batch in batches:
+        values = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if held and values[a] != at:
+                yield at, held
+                held = []
+            at = int(values[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield at, held
 
 
 class Model:
-    """What workers score with: the filter, the most frequent tokens with their counts, and totals."""
+    """What workers score with: the most frequent tokens with their counts, totals, and the filter where it is broadcast."""
 
-    def __init__(self, bits: bytes, first: np.ndarray, cells: int, top: np.ndarray, counts: np.ndarray, n: int, v: int) -> None:
-        self.filter, self.cells = Filter(bits, first, cells), cells
+    def __init__(self, filter_: Filter | None, top: np.ndarray, counts: np.ndarray, n: int, v: int) -> None:
+        self.filter, self.n, self.v = filter_, n, v
         order = np.argsort(top)
-        self.top, self.counts, self.n, self.v = top[order], counts[order], n, v
+        self.top, self.counts = top[order], counts[order]
         self.mass = n + 0.5 * (v + 1)
 
     def exact(self, h: np.ndarray) -> np.ndarray:
@@ -265,50 +261,74 @@ class Model:
         at = np.minimum(np.searchsorted(self.top, h), len(self.top) - 1)
         return np.where(self.top[at] == h, self.counts[at], -1)
 
+    def score(self, begins: np.ndarray, token_levels: np.ndarray, pair_levels: np.ndarray) -> np.ndarray:
+        """The log10 probability of each text, from the levels of its tokens and of its pairs."""
+        c = READ[token_levels]
+        context = np.concatenate((c[:1], c[:-1]))
+        context[begins[:-1]] = c[begins[1:] - 1]  # the end's count
+        c2 = np.minimum(np.minimum(READ[pair_levels], context), c)
+        return np.add.reduceat(np.log10((c2 + MU * (c + 0.5) / self.mass) / (context + MU)), begins[:-1])
+
 
-def fit(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
-    """The model of the training documents, and the table of exact counts by cell."""
+def fit(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame, DataFrame, int]:
+    """The model of the training documents, the table of exact counts (h, n) of tokens, that of the filter (cell, filter), and the number of cells."""
     train = docs.where(fold(F.col("doc_id"), 5) != 1).select(F.col(text).alias("text"))
     size = docs.select(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
-    power = lambda x: 1 << max(0, int(np.ceil(np.log2(max(1, x)))))
-    cells = min(MOST_CELLS, max(16, power(size / CELL_BYTES)))
-    bits = min(MOST_BITS, max(1 << 16, power(size))) // cells
-    dealt = map_arrow(train, _deal(cells), "order byte, cell int, hashes binary, counts binary").repartition("cell").sortWithinPartitions("cell", "order")
-    table = materialise(map_arrow(dealt, _gather(bits), "cell int, first int, filter binary, hashes binary, counts binary, n long, total long, by_level array<bigint>"), "lm-counts")
-    n, v, by_level = table.agg(F.sum("total"), F.sum("n"), F.array(*(F.sum(F.get("by_level", F.lit(i))) for i in range(len(LEVELS) + 1)))).first()
-    whole, first = np.zeros(bits * cells // 8, np.uint8), np.ones(cells, np.int8)
-    for r in table.select("cell", "first", "filter").toLocalIterator():
-        whole[r.cell * bits // 8 : (r.cell + 1) * bits // 8] = np.frombuffer(r.filter, np.uint8)
-        first[r.cell] = r.first
-    # the least count of which there are no more than TOP tokens
-    above = np.cumsum(np.array([x or 0 for x in by_level])[::-1])[::-1]
-    least = int(LEVELS[max(0, int(np.argmax(above[1:] <= TOP)))])
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for hashes, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h, c = np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([h[c >= least].tobytes()], pa.binary()), pa.array([c[c >= least].tobytes()], pa.binary())], ["hashes", "counts"])
-
-    kept = map_arrow(table.select("hashes", "counts"), frequent, "hashes binary, counts binary").collect()
-    top = np.frombuffer(b"".join(r.hashes for r in kept), np.uint64)
-    counts = np.frombuffer(b"".join(r.counts for r in kept), np.int64)
-    return Model(whole.tobytes(), first, cells, top, counts, n or 0, v or 0), table.select("cell", "hashes", "counts")
-
-
-NAMES = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "cell", "rows", "hashes"]
-SCHEMA = "row long, doc_id long, n_tokens long, n_known long, base double, score double, cell int, rows binary, hashes binary"
-TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary())
-
-
-def _score(broadcast):
-    """A row for each text, with what the most frequent tokens give to its base score; and by cell, the other tokens of each text."""
+    cells = 1 << max(4, int(np.ceil(np.log2(max(1, size / CELL_BYTES)))))
+    dealt = map_arrow(train, _deal, "pair boolean, h long, n long").withColumn("cell", cell_column(cells)).repartition("cell")
+    counted = dealt.groupBy("cell", "pair", "h").agg(F.sum("n").alias("n")).sortWithinPartitions("cell")  # within the same partitions
+    table = materialise(map_arrow(counted, _write, CELLS), "lm-counts")
+    counts, filter_ = table.where("h is not null").select("h", "n"), table.where("filter is not null").select("cell", "filter")
+
+    # the least size of counts of which there are no more than TOP
+    bucket = F.floor(4 * F.log2("n")).cast("int")
+    sizes = sorted(counts.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).collect(), reverse=True)
+    n, v = sum(r.n for r in sizes), sum(r.v for r in sizes)
+    least, held = 0, 0
+    for r in sizes:
+        held += r.v
+        if held > TOP:
+            least = r.bucket + 1
+            break
+    top = counts.where(bucket >= least).toArrow()
+    room = filter_.agg(F.sum(F.octet_length("filter").cast("long"))).first()[0] or 0
+    whole = None
+    if room + 16 * cells <= BROADCAST:
+        starts, parts = np.zeros(cells + 1, np.int64), bytearray(room)
+        for r in filter_.select("cell", F.octet_length("filter").alias("size")).toArrow().to_pylist():
+            starts[r["cell"] + 1] = r["size"]
+        starts = np.cumsum(starts)
+        for r in filter_.toLocalIterator():
+            parts[starts[r.cell] : starts[r.cell + 1]] = r.filter
+        whole = Filter(bytes(parts), starts)
+    return Model(whole, top["h"].to_numpy().view(np.uint64), top["n"].to_numpy(), n, v), counts, filter_, cells
+
+
+#: Rows of what is read from texts: of a text (kind 0), of a rarer token in a text (1), of a token or pair in a group of texts (2), of a group (3).
+NAMES = ["kind", "row", "doc_id", "n_tokens", "n_known", "base", "score", "pair", "h", "times", "tokens", "begins"]
+SCHEMA = "kind byte, row long, doc_id long, n_tokens long, n_known long, base double, score double, pair boolean, h long, times int, tokens binary, begins binary"
+TYPES = (pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+
+
+def _rows(kind: int, m: int, **columns) -> Iterator[pa.RecordBatch]:
+    """Batches of m rows of a kind; columns that aren't given are null."""
+    for i in range(0, m, ROWS):
+        k = min(ROWS, m - i)
+        every = {"kind": np.full(k, kind, np.int8)} | {c: v[i : i + k] for c, v in columns.items()}
+        yield pa.RecordBatch.from_arrays([pa.array(every[c], t) if c in every else pa.nulls(k, t) for c, t in zip(NAMES, TYPES, strict=True)], NAMES)
+
+
+def _read(broadcast):
+    """A row for each text, with what the most frequent tokens give to its base score, and the other tokens of each text.
+
+    With a filter at hand, the rows have the score too; without, the groups' tokens and all that is to be probed follow.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = broadcast.value
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
+            ids = batch.column("doc_id")
             for at, tokens, begins in groups(batch.column("text")):
                 texts = len(begins) - 1
                 own = number + np.arange(texts)
@@ -317,65 +337,84 @@ def _score(broadcast):
                 exact = m.exact(unique)
                 known = exact >= 0
                 base = np.where(known, np.log10((np.maximum(exact, 0) + 0.5) / m.mass), 0.0)
-                c = m.filter.read(unique, False)
-                p1 = (c + 0.5) / m.mass
                 both, at_pair = np.unique(pairs(tokens, begins), return_inverse=True)
-                count = c[where]
-                context = np.concatenate((count[:1], count[:-1]))
-                context[begins[:-1]] = count[begins[1:] - 1]  # the end's count
-                c2 = np.minimum(np.minimum(m.filter.read(both, True)[at_pair], context), count)
-                logs = np.log10((c2 + MU * p1[where]) / (context + MU))
                 total = lambda x: np.add.reduceat(x, begins[:-1])
-                columns = (own, ids[at : at + texts], np.diff(begins), total((known & (exact > 0))[where].astype(np.int64)), total(base[where]), total(logs), [None] * texts, [None] * texts, [None] * texts)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, TYPES, strict=True)], NAMES)
+                columns = {"row": own, "doc_id": ids.slice(at, texts), "n_tokens": np.diff(begins), "n_known": total((known & (exact > 0))[where].astype(np.int64)), "base": total(base[where])}
+                if m.filter is not None:
+                    columns["score"] = m.score(begins, m.filter.levels(unique)[where], m.filter.levels(both)[at_pair])
+                yield from _rows(0, texts, **columns)
                 rest = np.flatnonzero(~known[where])
                 if len(rest):
-                    h, row = tokens[rest], own[np.searchsorted(begins, rest, side="right") - 1]
-                    order = np.argsort(h, kind="stable")
-                    h, row = h[order], row[order]
-                    cuts = np.searchsorted(cell_of(h, m.cells), np.arange(m.cells + 1))
-                    some = [(cell, row[cuts[cell] : cuts[cell + 1]].tobytes(), h[cuts[cell] : cuts[cell + 1]].tobytes()) for cell in np.flatnonzero(np.diff(cuts)).tolist()]
-                    none = [None] * len(some)
-                    columns = (*[none] * 6, *zip(*some, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, TYPES, strict=True)], NAMES)
+                    text_of = np.searchsorted(begins, rest, side="right") - 1
+                    some, times = np.unique(np.stack([text_of, where[rest]]), axis=1, return_counts=True)
+                    yield from _rows(1, len(times), row=own[some[0]], h=unique[some[1]].view(np.int64), times=times.astype(np.int32))
+                if m.filter is None:
+                    for pair, h in ((False, unique), (True, both)):
+                        yield from _rows(2, len(h), row=np.full(len(h), own[0]), pair=np.full(len(h), pair), h=h.view(np.int64))
+                    yield from _rows(3, 1, row=own[:1], tokens=[tokens.tobytes()], begins=[begins.astype(np.int64).tobytes()])
 
     return run
 
 
-def _rest(mass: float):
-    """What other tokens give to each text: rows come sorted by cell, the exact counts (kind 0) before the texts' tokens."""
+def _probe(cells: int):
+    """Rows come sorted by cell and kind, each cell's part of the filter first; gives pair, h and the level of each hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, h, c = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            for cell, kind, hashes, other in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if cell != at:
-                    at, h, c = cell, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-                if kind == 0:
-                    h, c = np.frombuffer(hashes, np.uint64), np.frombuffer(other, np.int64)
-                    continue
-                tokens, rows = np.frombuffer(hashes, np.uint64), np.frombuffer(other, np.int64)
-                found = np.minimum(np.searchsorted(h, tokens), max(len(h) - 1, 0))
-                count = np.where(h[found] == tokens, c[found], 0) if len(h) else np.zeros(len(tokens), np.int64)
-                row, where = np.unique(rows, return_inverse=True)
-                logs = np.bincount(where, np.log10((count + 0.5) / mass))
-                known = np.bincount(where, count > 0).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(known), pa.array(logs)], ["row", "more_known", "more_base"])
+        at, held = -1, None
+        for cell, some in by_key(batches, "cell"):
+            for batch in some:
+                part = batch.column("filter").drop_null()
+                if len(part):
+                    at, held = cell, part[0].as_py()
+                asked = batch.filter(batch.column("filter").is_null())
+                h = asked.column("h").to_numpy()
+                one = Filter(held if at == cell else b"", np.array([0, len(held) if at == cell else 0]))
+                yield pa.RecordBatch.from_arrays([asked.column("pair"), asked.column("h"), pa.array(one.levels(h.view(np.uint64)))], ["pair", "h", "level"])
+
+    return run
+
+
+def _finish(broadcast):
+    """Rows come sorted by group and kind, the group's tokens first, then the levels found; gives row and score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = broadcast.value
+        for first, some in by_key(batches, "row"):
+            tokens, begins = (np.frombuffer(some[0].column(c)[0].as_py(), t) for c, t in (("tokens", np.uint64), ("begins", np.int64)))
+            found = pa.Table.from_batches(some).slice(1)
+            pair, h, levels = (found.column(c).to_numpy() for c in ("pair", "h", "level"))
+            order = np.lexsort((h.view(np.uint64), pair))
+            cut, h, levels = int((~pair.astype(bool)).sum()), h.view(np.uint64)[order], levels[order]
+            at = np.searchsorted(h[:cut], tokens), np.searchsorted(h[cut:], pairs(tokens, begins))
+            score = m.score(begins, levels[:cut][at[0]], levels[cut:][at[1]])
+            yield pa.RecordBatch.from_arrays([pa.array(first + np.arange(len(score))), pa.array(score)], ["row", "score"])
 
     return run
 
 
+def _far(rows: DataFrame, filter_: DataFrame, cells: int, broadcast) -> DataFrame:
+    """row and score of every text, with the filter probed in its cells."""
+    asked = rows.where("kind = 2").select("row", "pair", "h")
+    distinct = asked.select("pair", "h").distinct().withColumn("cell", cell_column(cells))
+    both = filter_.withColumns({"kind": F.lit(0), "pair": F.lit(None).cast("boolean"), "h": F.lit(None).cast("long")}).unionByName(distinct.withColumns({"kind": F.lit(1), "filter": F.lit(None).cast("binary")}))
+    levels = materialise(map_arrow(both.repartition("cell").sortWithinPartitions("cell", "kind"), _probe(cells), "pair boolean, h long, level byte"), "lm-levels")
+    answers = asked.join(levels, ["pair", "h"]).withColumns({"kind": F.lit(1), "tokens": F.lit(None).cast("binary"), "begins": F.lit(None).cast("binary")})
+    streams = rows.where("kind = 3").select("row", "tokens", "begins").withColumns({"kind": F.lit(0), "pair": F.lit(None).cast("boolean"), "h": F.lit(None).cast("long"), "level": F.lit(None).cast("byte")})
+    return map_arrow(streams.unionByName(answers).repartition("row").sortWithinPartitions("row", "kind"), _finish(broadcast), "row long, score double")
+
+
 def score(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    model, counts = fit(docs, text)
+    model, counts, filter_, cells = fit(docs, text)
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
-    rows = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), _score(broadcast), SCHEMA)
-    rows = materialise(rows, "lm-scores")
-    rest = rows.where("cell is not null").select("cell", F.lit(1).alias("kind"), "hashes", F.col("rows").alias("other"))
-    asked = counts.select("cell", F.lit(0).alias("kind"), "hashes", F.col("counts").alias("other")).unionByName(rest)
-    sums = map_arrow(asked.repartition("cell").sortWithinPartitions("cell", "kind"), _rest(model.mass), "row long, more_known long, more_base double")
-    sums = sums.groupBy("row").agg(F.sum("more_known").alias("more_known"), F.sum("more_base").alias("more_base"))
-    out = rows.where("row is not null").select("row", "doc_id", "n_tokens", "n_known", "base", "score").join(sums, "row", "left")
+    read = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), _read(broadcast), SCHEMA)
+    rows = materialise(read, "lm-scores")
+    known = F.coalesce("n", F.lit(0))
+    more = rows.where("kind = 1").select("row", "h", "times").join(counts, "h", "left")
+    sums = more.groupBy("row").agg(F.sum(F.when(known > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10((known + 0.5) / F.lit(model.mass))).alias("more_base"))
+    out = rows.where("kind = 0").select("row", "doc_id", "n_tokens", "n_known", "base", "score").join(sums, "row", "left")
+    if model.filter is None:
+        out = out.drop("score").join(_far(rows, filter_, cells, broadcast), "row")
     return out.select(
         "doc_id", (fold(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),

@@ -55,20 +55,69 @@ def test_word_hashes_are_those_of_words():
     assert all(text[s : s + len(w)] == w for s, w in zip(starts.tolist(), words))
 
 
-def test_filter_reads_levels(monkeypatch):
+def test_filter_reads_levels():
     rng = np.random.default_rng(2)
     h = np.unique(rng.integers(0, 2**63, 20_000, dtype=np.uint64))
     counts = rng.geometric(0.2, len(h)) ** 2
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    bits, first = lm.write_cell((h, counts), none, 1 << 21)
-    read = lm.Filter(bits, np.array([first], np.int8), 1).read(h, False)
-    want = lm.READ[lm.level(counts)]
+    bits = lm.write_cell(h, counts)
+    assert len(bits) * 8 <= lm.BITS_EACH * lm.level(counts).sum() + 64
+    one = lm.Filter(bits, np.array([0, len(bits)]))
+    read, want = one.levels(h), lm.level(counts)
     assert (read >= want).all() and (read > want).mean() < 0.05
-    absent = lm.mix(h + np.uint64(1))
-    assert (lm.Filter(bits, np.array([1], np.int8), 1).read(absent, False) > 0).mean() < 0.05
-    bits, first = lm.write_cell(none, (h, counts), 1 << 17)  # too small: low levels of pairs are left out
-    read = lm.Filter(bits, np.array([first], np.int8), 1).read(h, True)
-    assert first > 1 and (read[lm.level(counts) >= first] >= want[lm.level(counts) >= first]).all()
+    assert (one.levels(lm.mix(h + np.uint64(1))) > 0).mean() < 0.05
+    halves = [h[h >> np.uint64(63) == i] for i in (0, 1)]
+    parts = [lm.write_cell(x, counts[np.isin(h, x)]) for x in halves]
+    two = lm.Filter(b"".join(parts), np.cumsum([0, *map(len, parts)]))
+    assert (two.levels(h) >= want).all()
+
+
+def exact_model(rows):
+    """The score of each text from exact counts, each read as its level: what the filter would give without false positives."""
+    ones, twos = Counter(), Counter()
+    for d, x in rows:
+        if not held_out(d):
+            t = plain(x)
+            ones.update(t)
+            twos.update(zip([None, *t[:-1]], t, strict=True))
+    n, v = sum(ones.values()), len(ones)
+    read = lambda c: float(lm.READ[lm.level(np.array([c]))[0]])
+
+    def of(x):
+        total = 0.0
+        t = plain(x)
+        for a, b in zip([None, *t[:-1]], t, strict=True):
+            c, context = read(ones[b]), read(ones[a])
+            p = (c + 0.5) / (n + 0.5 * (v + 1))
+            total += log10((min(read(twos[a, b]), context, c) + lm.MU * p) / (context + lm.MU))
+        return total
+
+    return {d: of(x) for d, x in rows}
+
+
+@pytest.mark.parametrize("far", [False, True])
+def test_scores_are_those_of_exact_counts(spark, monkeypatch, far):
+    """Whole scores against exact counts; read a little high by false positives only. Both ways of probing."""
+    if far:
+        monkeypatch.setattr(lm, "BROADCAST", 0)
+    monkeypatch.setattr(lm, "CELL_BYTES", 20_000)
+    monkeypatch.setattr(lm, "GROUP", 30_000)
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    df = df.union(spark.createDataFrame([(10**6, None), (10**6 + 1, "a b " * 9000)], df.schema))
+    want = exact_model([tuple(r) for r in df.collect()])
+    got = {r.doc_id: r for r in lm.score(df.repartition(3)).collect()}
+    assert got.keys() == want.keys()
+    off = [(got[d].score - want[d]) / got[d].n_tokens for d in want]
+    assert abs(np.mean(off)) < 0.02 and max(map(abs, off)) < 0.2
+
+
+def test_both_ways_of_probing_agree(spark, monkeypatch):
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    near = {r.doc_id: r for r in lm.score(df).collect()}
+    monkeypatch.setattr(lm, "BROADCAST", 0)
+    monkeypatch.setattr(lm, "TOP", 50)
+    far = {r.doc_id: r for r in lm.score(df).collect()}
+    assert near.keys() == far.keys()
+    assert all(abs(near[d].score - far[d].score) < 1e-9 and abs(near[d].base_score - far[d].base_score) < 1e-9 and near[d].n_known == far[d].n_known for d in near)
 
 
 def test_held_out_likelihood_beats_shuffled_words(spark):
