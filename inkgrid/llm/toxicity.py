@@ -1,17 +1,20 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-The classifier is fitted on a bounded sample of labelled rows: at most EXAMPLES, half of them of each class, chosen by
-a hash of doc_id; classes are weighted by how many labelled rows they stand for. Its terms (at most TERMS) are the
-words whose odds differ most between the classes; a text's vector holds (1 + ln tf) * idf of those, at length one.
-The NEIGHBOURS nearest examples vote with 1 / (EPSILON + 1 - cosine). Votes become probabilities by isotonic
-regression on the examples' own votes, each without itself. The examples' votes, not only the score, are returned.
-
-The index keeps, for every term, the largest weight in each block of examples; blocks are visited by their upper bound
-until it falls below the last neighbour found, so that the neighbours are exact. Ties go to the earlier example.
-
-Null and empty texts and others without any of the terms have no neighbours; their score is the share of toxic rows
-among such examples. Without labelled rows of both classes the score is the smoothed share of toxic rows. Labels of one
-doc_id count once, as toxic if any is; labels without doc_id, value or document take no part.
+The classifier is fitted on a bounded sample of labelled rows: at most EXAMPLES of at most LONGEST bytes, half of them of
+each class, chosen by a hash of doc_id; classes are weighted by how many labelled rows they stand for. A text's vector
+has every one of its words, those of no example too: (1 + ln tf) * idf * gain, at length one. gain is the word's
+information gain on the label among the examples, smoothed and never 0. The NEIGHBOURS nearest examples vote with
+1 / (EPSILON + 1 - cosine). Votes become probabilities by isotonic regression on the examples' own votes, each without
+itself. Neighbours, not only the score, are returned.
+
+The index keeps, for every term, the largest weight in each block of examples. A query first visits the FIRST blocks of
+the largest upper bounds; of the others, only those whose bound reaches the last neighbour found can hold a nearer one
+and are visited too, so that the neighbours are exact. Ties go to the earlier example.
+
+Null and empty texts have no neighbours; their score is the share of toxic rows among such examples. Texts without any
+word of an example score the share of toxic rows. Without labelled rows of both classes the score is the smoothed share
+of toxic rows. Labels of one doc_id count once, as toxic if any is, and so do repeated rows with its text (the longest of
+several texts); labels without doc_id, value or document take no part.
 """
 
 from __future__ import annotations
@@ -19,10 +22,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import log, sqrt
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
@@ -30,77 +33,126 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, Stru
 from inkgrid.llm.text import fold
 from inkgrid.session import map_arrow, materialise
 
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 20_000, 1024, 15, 128
-#: A term's least log odds ratio, and its least ratio to its standard error.
-ODDS, SIGNIFICANCE, EPSILON = 1.5, 4.0, 0.05
-CACHE, EVIDENCE = 50_000, 3
+EXAMPLES, LONGEST, NEIGHBOURS, BLOCK, FIRST = 4_000, 1 << 15, 15, 64, 4
+#: What the gain of a word is at least, and the distance added to that of a neighbour.
+LEAST, EPSILON = 1e-6, 0.05
+CACHE, EVIDENCE = 20_000, 3
 WORD = re.compile(r"[^\W\d_]+")
-Vector = tuple[tuple[int, float], ...]
 
 
-def terms(text: str | None) -> list[str]:
-    """The runs of letters of a text in lower case."""
-    return WORD.findall((text or "").lower())
+def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of letters of a text in lower case, as hashes, and how often each occurs."""
+    found = Counter(WORD.findall((text or "").lower()))
+    digest = xxhash.xxh3_64_intdigest
+    h = np.fromiter((digest(w) for w in found), np.uint64, len(found))
+    return h, np.fromiter(found.values(), np.int64, len(found))
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All positions of some spans, one span after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
+
+
+def gains(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
+    """The information gain on the class of words found in a of n_a and b of n_b examples, smoothed by half an example each way."""
+    total, gain = n_a + n_b + 2, np.full(len(a), LEAST)
+    share = (a + b + 1) / total
+    for held, n in ((a, n_a), (b, n_b)):
+        of_class = (n + 1) / total
+        with_, without = (held + 0.5) / total, (n - held + 0.5) / total
+        gain += with_ * np.log(with_ / (share * of_class)) + without * np.log(without / ((1 - share) * of_class))
+    return np.maximum(gain, LEAST)
 
 
 class Index:
-    """The examples' vectors as postings in blocks, with each block's largest weight by term."""
-
-    def __init__(self, vectors: list[Vector], n_terms: int) -> None:
-        # examples with the same heaviest terms share blocks, so that bounds are tight
-        self.order = sorted(range(len(vectors)), key=lambda i: ([t for t, _ in sorted(vectors[i], key=lambda x: (-x[1], x[0]))], i))
-        self.blocks = -(-len(vectors) // BLOCK)
-        rows = [(t, place, w) for place, i in enumerate(self.order) for t, w in vectors[i]]
-        rows.sort()
-        term = np.array([r[0] for r in rows], np.int64)
-        self.place = np.array([r[1] for r in rows], np.int64)
-        self.weight = np.array([r[2] for r in rows], np.float64)
-        cells = term * self.blocks + self.place // BLOCK if len(rows) else np.zeros(0, np.int64)
-        self.start = np.searchsorted(cells, np.arange(n_terms * self.blocks + 1))
-        self.most = np.zeros(n_terms * self.blocks)
-        np.maximum.at(self.most, cells, self.weight)
-        self.most = self.most.reshape(n_terms, self.blocks)
-
-    def nearest(self, query: Vector, k: int, but: int = -1) -> list[tuple[float, int]]:
+    """Vectors of examples as postings by term, cut into cells of one block of examples, with each cell's largest weight."""
+
+    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int) -> None:
+        # examples with the same heaviest term share blocks, so that bounds are tight
+        heaviest = np.full(n, -1)
+        order = np.lexsort((weight, example))
+        heaviest[example[order]] = term[order]
+        self.order = np.lexsort((np.arange(n), heaviest))
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n)
+        self.n, self.blocks = n, -(-n // BLOCK)
+        at = place[example]
+        order = np.lexsort((at, term))
+        term, self.place, self.weight = term[order], at[order], weight[order]
+        cell = term * self.blocks + self.place // BLOCK
+        begins = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.start = np.append(begins, len(cell))
+        self.block = (cell[begins] % max(self.blocks, 1))
+        self.most = np.maximum.reduceat(self.weight, begins) if len(begins) else np.zeros(0)
+        self.cells = np.searchsorted(term[begins], np.arange(n_terms + 1))
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, but: int = -1) -> list[tuple[float, int]]:
         """The k examples of largest cosine over 0 (cosine, example), without example but."""
-        bound = np.zeros(self.blocks)
-        for t, w in query:
-            bound += w * self.most[t]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in query:
-                i, j = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
-                scores[self.place[i:j] - b * BLOCK] += w * self.weight[i:j]
-            least = best[-1][0] - 1e-12 if len(best) == k else 0.0
-            some = [(round(float(scores[p]), 12), i) for p in np.flatnonzero(scores > least).tolist() if (i := self.order[b * BLOCK + p]) != but]
-            best = sorted(best + some, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+        first, last = self.cells[term], self.cells[term + 1]
+        cells, weights = spans(first, last - first), np.repeat(weight, last - first)
+        block = self.block[cells]
+        bound = np.bincount(block, weights * self.most[cells], self.blocks)
+        scores = np.zeros(self.n)
+
+        def visit(some: np.ndarray) -> None:
+            mine = some[block]
+            starts = self.start[cells[mine]]
+            sizes = self.start[cells[mine] + 1] - starts
+            at = spans(starts, sizes)
+            scores[:] += np.bincount(self.place[at], np.repeat(weights[mine], sizes) * self.weight[at], self.n)
+
+        def best() -> np.ndarray:
+            found = np.round(scores, 12)
+            if but >= 0:
+                found[self.order == but] = 0
+            least = np.partition(found, -k)[-k] if k < len(found) else 0.0
+            some = np.flatnonzero((found >= least) & (found > 0))
+            return some[np.lexsort((self.order[some], -found[some]))[:k]]
+
+        chosen = np.zeros(self.blocks, bool)
+        chosen[np.argsort(-bound, kind="stable")[:FIRST]] = True
+        visit(chosen)
+        near = best()
+        more = (bound >= (scores[near[-1]] - 1e-11 if len(near) == k else 1e-300)) & ~chosen
+        if more.any():
+            visit(more)
+            near = best()
+        return [(round(float(scores[p]), 12), int(self.order[p])) for p in near]
 
 
 class Model:
-    def __init__(self, vocabulary: dict[str, tuple[int, float]], examples: list[tuple[int, bool, dict[str, int]]], weights: dict[bool, float]) -> None:
-        """vocabulary: a term's number and idf. examples: doc_id, toxic and counts by term."""
-        self.vocabulary, self.cache = vocabulary, {}
-        pairs = [(doc_id, toxic, self.vector(Counter(counts))) for doc_id, toxic, counts in examples]
-        filled = [p for p in pairs if p[2]]
-        self.ids, self.toxic = [p[0] for p in filled], np.array([p[1] for p in filled], bool)
-        self.weight = np.where(self.toxic, weights[True], weights[False])
-        self.index = Index([p[2] for p in filled], len(vocabulary))
-        total = {c: weights[c] * sum(p[1] == c for p in pairs) for c in (True, False)}
-        self.base = (total[True] + 1) / (total[True] + total[False] + 2)
-        empty = {c: weights[c] * sum(p[1] == c for p in pairs if not p[2]) for c in (True, False)}
-        self.unknown = (empty[True] + self.base) / (empty[True] + empty[False] + 1)
-        votes = [self.vote(self.index.nearest(p[2], NEIGHBOURS, but=i)) for i, p in enumerate(filled)]
-        self.knots, self.values = isotonic(np.array(votes), self.toxic.astype(float), self.weight)
-
-    def vector(self, counts: Counter) -> Vector:
-        known = self.vocabulary
-        found = sorted((known[t][0], (1 + log(n)) * known[t][1]) for t, n in counts.items() if t in known)
-        length = sqrt(sum(w * w for _, w in found))
-        return tuple((t, w / length) for t, w in found)
+    """examples: doc_id, toxic, hashes and counts of each. weights: how many labelled rows an example of each class stands for."""
+
+    def __init__(self, examples: list[tuple[int, bool, np.ndarray, np.ndarray]], weights: dict[bool, float]) -> None:
+        self.ids, self.toxic = [e[0] for e in examples], np.array([e[1] for e in examples], bool)
+        self.weight = np.where(self.toxic, weights.get(True, 0.0), weights.get(False, 0.0))
+        none = np.zeros(0, np.uint64)
+        sizes = np.array([len(e[2]) for e in examples], np.int64)
+        example = np.repeat(np.arange(len(examples)), sizes)
+        self.vocabulary, term = np.unique(np.concatenate([none, *(e[2] for e in examples)]), return_inverse=True)
+        n, v = len(examples), len(self.vocabulary)
+        a, b = np.bincount(term[self.toxic[example]], minlength=v), np.bincount(term[~self.toxic[example]], minlength=v)
+        n_a = int(self.toxic.sum())
+        idf = lambda df: 1 + np.log((1 + n) / (1 + df))
+        self.idf = idf(a + b) * gains(a, b, n_a, n - n_a)
+        self.unseen = float(idf(0) * gains(np.zeros(1), np.zeros(1), n_a, n - n_a)[0])
+        raw = (1 + np.log(np.concatenate([none.astype(np.int64), *(e[3] for e in examples)]))) * self.idf[term]
+        length = np.sqrt(np.bincount(example, raw * raw, max(n, 1)))
+        self.index = Index(example, term, raw / length[example] if len(raw) else raw, n, v)
+        total = {c: self.weight[self.toxic == c].sum() for c in (True, False)}
+        self.base = float((total[True] + 1) / (total[True] + total[False] + 2))
+        empty = {c: self.weight[(self.toxic == c) & (sizes == 0)].sum() for c in (True, False)}
+        self.unknown = float((empty[True] + self.base) / (empty[True] + empty[False] + 1))
+        self.sure = n_a > 0 and n_a < n
+        self.knots = self.values = np.zeros(0)
+
+    def vector(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of the vocabulary, and their weights in the vector of all words."""
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), max(len(self.vocabulary) - 1, 0))
+        known = self.vocabulary[at] == hashes if len(self.vocabulary) else np.zeros(len(hashes), bool)
+        w = (1 + np.log(counts)) * (np.where(known, self.idf[at], self.unseen) if len(self.vocabulary) else self.unseen)
+        return at[known], w[known] / np.sqrt((w * w).sum()) if len(w) else w
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         if not near:
@@ -109,19 +161,25 @@ class Model:
         w = self.weight[some] / (EPSILON + 1 - np.minimum(1, np.array([c for c, _ in near])))
         return float((w * self.toxic[some]).sum() / w.sum())
 
+    def own_vote(self, i: int, hashes: np.ndarray, counts: np.ndarray) -> float:
+        """The vote on example i, without itself."""
+        return self.vote(self.index.nearest(*self.vector(hashes, counts), NEIGHBOURS, but=i))
+
+    def calibrate(self, votes: np.ndarray, some: np.ndarray) -> None:
+        """votes: those on examples some, each without itself."""
+        self.knots, self.values = isotonic(votes, self.toxic[some].astype(float), self.weight[some])
+
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
         """The probability that a text is toxic, and its neighbours (cosine, example)."""
-        known = self.vocabulary
-        query = self.vector(Counter([t for t in terms(text) if t in known]))
-        if not query:
+        hashes, counts = terms(text)
+        if not len(hashes):
             return self.unknown, []
-        if query not in self.cache:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            near = self.index.nearest(query, NEIGHBOURS)
-            vote = self.vote(near)
-            self.cache[query] = (float(np.interp(vote, self.knots, self.values)) if len(self.knots) else self.base, near)
-        return self.cache[query]
+        if not self.sure:
+            return self.base, []
+        near = self.index.nearest(*self.vector(hashes, counts), NEIGHBOURS)
+        if not near or not len(self.knots):
+            return self.base, near
+        return float(np.interp(self.vote(near), self.knots, self.values)), near
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,39 +196,46 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([e for p in pools for e in p[:2]]), np.repeat(value, 2)
 
 
+EXAMPLE = "doc_id long, toxic boolean, hashes binary, counts binary"
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [terms(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *(pa.array([f[i].tobytes() for f in found], pa.binary()) for i in (0, 1))], ["doc_id", "toxic", "hashes", "counts"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     """The model of the labelled rows whose fold of five is not 0."""
+    spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id"), 5) != 0))
-    known = materialise(known.groupBy(F.col("doc_id").cast("long")).agg((F.max("toxic") > 0).alias("toxic")), "toxic-labels")
-    mixed = lambda toxic: known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES // 2)
+    known = materialise(known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic")), "toxic-labels")
+    size = F.octet_length(F.coalesce(F.col(text), F.lit("")))
+    fits = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size")).join(known, "doc_id").where(F.col("size") <= LONGEST).select("doc_id", "toxic").distinct(), "toxic-known")
+    mixed = lambda toxic: fits.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES // 2)
     sample = materialise(mixed(True).union(mixed(False)), "toxic-sample")  # at most EXAMPLES narrow rows, so it may be broadcast
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [list(Counter(terms(t)).items()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(counts, pa.map_(pa.string(), pa.int64()))], ["doc_id", "toxic", "counts"])
-
-    rows = materialise(map_arrow(chosen.select("doc_id", "toxic", "text"), count, "doc_id long, toxic boolean, counts map<string, bigint>"), "toxic-examples")
-    sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # one text for each doc_id, so that the sample's bound holds: the longest, and of those the one with the least hash
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), size.alias("size"), F.xxhash64(F.col(text)).alias("hash")).where(F.col("size") <= LONGEST).join(F.broadcast(sample), "doc_id")
+    chosen = chosen.groupBy("doc_id", "toxic").agg(F.max_by("text", F.struct("size", "hash")).alias("text"))
+    rows = materialise(map_arrow(chosen, _count, EXAMPLE), "toxic-examples")
     stands = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    weights = {c: stands.get(c, 0) / sizes[c] if sizes.get(c) else 0.0 for c in (True, False)}
-    a, b, n_a, n_b = F.col("a"), F.col("b"), sizes.get(True, 0), sizes.get(False, 0)
-    by_term = rows.select("toxic", F.explode(F.map_keys("counts")).alias("term")).groupBy("term").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b"))
-    odds = F.log((a + 0.5) / (n_a - a + 0.5)) - F.log((b + 0.5) / (n_b - b + 0.5))
-    error = F.sqrt(1 / (a + 0.5) + 1 / (n_a - a + 0.5) + 1 / (b + 0.5) + 1 / (n_b - b + 0.5))
-    telling = by_term.select("term", a + b, odds.alias("odds"), F.abs(odds / error).alias("z")).toDF("term", "n", "odds", "z")
-    best = telling.where((F.abs("odds") >= ODDS) & (F.col("z") >= SIGNIFICANCE)).orderBy(F.desc("z"), "term").limit(TERMS).collect()
-    vocabulary = {r.term: (i, 1 + log((1 + n_a + n_b) / (1 + r.n))) for i, r in enumerate(best)}
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [[(t, n) for t, n in c if t in vocabulary] for c in batch.column("counts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(counts, pa.map_(pa.string(), pa.int64()))], ["doc_id", "toxic", "counts"])
+    held = rows.orderBy("doc_id").toArrow()
+    examples = [(d, t, np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64)) for d, t, h, c in zip(*(held.column(c).to_pylist() for c in ("doc_id", "toxic", "hashes", "counts")), strict=True)]
+    sizes = Counter(e[1] for e in examples)
+    model = Model(examples, {c: stands.get(c, 0) / sizes[c] for c in sizes})
+    if model.sure:
+        sent = spark.sparkContext.broadcast(model)
+
+        def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = sent.value
+            at = {d: i for i, d in enumerate(m.ids)}
+            for batch in batches:
+                found = [(i, m.own_vote(i, np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64))) for d, h, c in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "hashes", "counts")), strict=True) if len(h) and (i := at[d]) >= 0]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.float64())], ["i", "vote"])
 
-    kept = map_arrow(rows, keep, rows.schema)
-    examples = [(r.doc_id, r.toxic, r.counts) for r in kept.orderBy("doc_id").collect()]
-    return Model(vocabulary, examples, weights)
+        own = map_arrow(rows.repartition(spark.sparkContext.defaultParallelism), votes, "i long, vote double").orderBy("i").toArrow()
+        model.calibrate(own.column("vote").to_numpy(), own.column("i").to_numpy())
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", score: str = "score", evidence: str = "evidence") -> DataFrame:
@@ -183,11 +248,20 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", score: str = "
     near = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        m, seen = model.value, {}
+
+        def of(t: str | None) -> tuple[float, list[dict]]:
+            key = xxhash.xxh3_128_digest((t or "").encode("utf-8", "replace"))
+            if key not in seen:
+                if len(seen) >= CACHE:
+                    seen.clear()
+                p, found = m.score(t)
+                seen[key] = p, [{"doc_id": m.ids[i], "cosine": c, "toxic": bool(m.toxic[i])} for c, i in found[:EVIDENCE]]
+            return seen[key]
+
         for batch in batches:
-            found = [m.score(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            why = [[{"doc_id": m.ids[i], "cosine": c, "toxic": bool(m.toxic[i])} for c, i in near_[:EVIDENCE]] for _, near_ in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _ in found], pa.float64()), pa.array(why, near)], [*batch.schema.names, score, evidence])
+            found = [of(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _ in found], pa.float64()), pa.array([w for _, w in found], near)], [*batch.schema.names, score, evidence])
 
     element = StructType([StructField("doc_id", LongType()), StructField("cosine", DoubleType()), StructField("toxic", BooleanType())])
     return map_arrow(docs, run, StructType([*docs.schema.fields, StructField(score, DoubleType()), StructField(evidence, ArrayType(element))]))

@@ -1,5 +1,8 @@
 import random
+import re
+import zlib
 from collections import Counter
+from math import log, sqrt
 
 import numpy as np
 
@@ -9,19 +12,92 @@ from inkgrid.llm import toxicity as T
 SF = "/root/testdata/sf0.1"
 
 
-def test_nearest_equals_all_cosines():
+def plain_vectors(examples, texts):
+    """Vectors of examples (text, toxic) and of texts as dictionaries by word, straight from the definition."""
+    count = lambda t: Counter(re.findall(r"[^\W\d_]+", (t or "").lower()))
+    counts = [count(t) for t, _ in examples]
+    n, n_a = len(examples), sum(x for _, x in examples)
+    holders = lambda w, toxic: sum(w in c for c, (_, x) in zip(counts, examples, strict=True) if x == toxic)
+    weight = {}
+
+    def of(w):
+        if w not in weight:
+            held = {True: holders(w, True), False: holders(w, False)}
+            total, gain = n + 2, T.LEAST
+            share = (held[True] + held[False] + 1) / total
+            for toxic, size in ((True, n_a), (False, n - n_a)):
+                for k, p in ((held[toxic] + 0.5, share), (size - held[toxic] + 0.5, 1 - share)):
+                    gain += k / total * log(k / total / (p * (size + 1) / total))
+            weight[w] = (1 + log((1 + n) / (1 + held[True] + held[False]))) * max(gain, T.LEAST)
+        return weight[w]
+
+    def vector(c):
+        v = {w: (1 + log(k)) * of(w) for w, k in c.items()}
+        length = sqrt(sum(x * x for x in v.values()))
+        return {w: x / length for w, x in v.items()}
+
+    return [vector(c) for c in counts], [vector(count(t)) for t in texts]
+
+
+def dot(q, v):
+    return sum(x * v[w] for w, x in q.items() if w in v)
+
+
+def as_example(i, text, toxic):
+    return i, toxic, *T.terms(text)
+
+
+def test_nearest_equals_all_cosines(monkeypatch):
     rng = random.Random(4)
-    for n in (0, 1, 5, 700):
-        vocabulary = {f"t{i}": (i, rng.uniform(1, 4)) for i in range(40)}
-        examples = [(i, rng.random() < 0.3, Counter(rng.choices(list(vocabulary), k=rng.randint(0, 6)))) for i in range(n)]
-        model = T.Model(vocabulary, examples, {True: 1.0, False: 2.0})
-        vectors = [dict(model.vector(c)) for _, _, c in examples if c]
-        for _ in range(100):
-            q = model.vector(Counter(rng.choices(list(vocabulary), k=rng.randint(1, 5))))
-            every = sorted(((round(sum(w * v.get(t, 0) for t, w in q), 12), i) for i, v in enumerate(vectors)), key=lambda x: (-x[0], x[1]))
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "uvwxyz"]
+    monkeypatch.setattr(T, "BLOCK", 16)
+    for n in (1, 5, 700):
+        examples = [(" ".join(rng.choices(words, k=rng.randint(0, 9))), rng.random() < 0.3) for _ in range(n)]
+        texts = [" ".join(rng.choices([*words, "unseen"], k=rng.randint(1, 7))) for _ in range(100)]
+        model = T.Model([as_example(i, *e) for i, e in enumerate(examples)], {True: 1.0, False: 2.0})
+        held, queries_ = plain_vectors(examples, texts)
+        for text, q in zip(texts, queries_, strict=True):
+            every = sorted(((round(dot(q, v), 12), i) for i, v in enumerate(held)), key=lambda x: (-x[0], x[1]))
             want = [x for x in every if x[0] > 0][: T.NEIGHBOURS]
-            got = model.index.nearest(q, T.NEIGHBOURS)
-            assert [i for _, i in got] == [i for _, i in want] or np.allclose([c for c, _ in got], [c for c, _ in want], atol=1e-11)
+            got = model.index.nearest(*model.vector(*T.terms(text)), T.NEIGHBOURS)
+            assert np.allclose([c for c, _ in got], [c for c, _ in want], atol=1e-11)
+            assert [i for _, i in got] == [i for _, i in want] or np.allclose([c for c, _ in every[: T.NEIGHBOURS + 1]][-2:], got[-1][0], atol=1e-11) or len({round(c, 10) for c, _ in got}) < len(got)
+
+
+def test_whole_query_equals_brute_force(spark):
+    """Scores and evidence of the whole query on a fixture, from all cosines of all words."""
+    rng = random.Random(9)
+    usual, bad = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)], ["vile", "rotten", "nasty"]
+    rows = []
+    for i in range(260):
+        words = rng.choices(usual, k=rng.randint(5, 40))
+        toxic = rng.random() < 0.3
+        if toxic and rng.random() < 0.9:
+            words += rng.choices(bad, k=2)
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows] + [(1000, None), (1001, "zzz"), (1002, "vile " * 9000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, x) for d, _, x in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in T.score(docs, labels).collect()}
+    train = [(d, t, x) for d, t, x in rows if zlib.crc32(str(d).encode()) % 5]
+    texts = {d: t for d, t, _ in rows} | {1002: "vile " * 9000}
+    held, vectors = plain_vectors([(t, bool(x)) for _, t, x in train], texts.values())
+    toxic = [bool(x) for _, _, x in train]
+
+    def vote(q, but=None):
+        near = sorted(((round(dot(q, v), 12), i) for i, v in enumerate(held) if i != but), key=lambda x: (-x[0], x[1]))
+        near = [x for x in near if x[0] > 0][: T.NEIGHBOURS]
+        w = [1 / (T.EPSILON + 1 - min(1, c)) for c, _ in near]
+        base = (sum(toxic) + 1) / (len(toxic) + 2)
+        return (sum(a for a, (_, i) in zip(w, near, strict=True) if toxic[i]) / sum(w) if near else base), near
+
+    own = [vote(v, i)[0] for i, v in enumerate(held)]
+    knots, values = T.isotonic(np.array(own), np.array(toxic, float), np.ones(len(own)))
+    for d, q in zip(texts, vectors, strict=True):
+        v, near = vote(q)
+        assert abs(got[d].score - np.interp(v, knots, values)) < 1e-6, d
+        assert np.allclose([e.cosine for e in got[d].evidence], [c for c, _ in near[: T.EVIDENCE]], atol=1e-9)
+    assert got[1000].evidence == [] and got[1001].evidence == [] and 0 < got[1000].score < 1
+    assert sum(bool(r.evidence) for r in got.values()) >= len(rows)
 
 
 def test_isotonic_is_increasing_and_pools():
@@ -38,6 +114,19 @@ def test_held_out_accuracy(spark):
     clean = [rows[r.doc_id].predicted for r in labels if not r.toxic]
     assert sum(caught) >= 0.85 * len(caught) and sum(clean) <= 0.02 * len(clean)
     assert all(r.evidence for r in rows.values() if r.predicted)
+    assert sum(bool(r.evidence) for r in rows.values()) >= 0.99 * len(rows)  # nearly every document has neighbours
+
+
+def test_repeated_and_long_rows(spark, monkeypatch):
+    """Rows that repeat a labelled doc_id count as one example, texts over LONGEST are scored but are none."""
+    rows = [(i, f"own{chr(97 + i)} words here " + ("vile thing" if i % 2 else "kind thing")) for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(21)], "doc_id long, toxic int")
+    long_ = "kind words " * 100_000
+    docs = spark.createDataFrame(rows + rows[:5] + [(3, "vile")] * 50 + [(20, long_)], "doc_id long, text string")
+    model = T.fit(docs, labels)
+    assert len(model.ids) == len(set(model.ids)) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(20))
+    out = T.score(docs, labels).collect()
+    assert len(out) == docs.count() and all(0 <= r.score <= 1 for r in out) and [r for r in out if r.doc_id == 20][0].evidence
 
 
 def test_edges(spark):
