@@ -3,10 +3,13 @@
 Three kinds of base spans are found on their own: assign (a keyword set to a value), access (an access identifier with
 its fixed prefix) and hex (a long run of hexadecimal digits). Beside them there are weak candidates: identifiers (names
 or numbers of clients, users and accounts), secrets (runs that mix cases and digits) and endpoints (URLs, hosts with
-ports). A weak candidate is reported only with its complements in the same scope (text without a blank line) at most
-REACH code points away: an identifier with a secret, a secret with an identifier, an endpoint with both. Access spans
-count as identifiers, assign spans as secrets. The interval join of a text's parts sorts them once and looks up the
-nearest complement, so its work grows with the parts and not with their pairs; it happens in the text's own row.
+ports). Access spans count as identifiers and assign spans as secrets.
+
+Scopes are the intervals of a text between its blank lines. Parts are joined to the scopes that hold them, by one pass
+over sorted starts, so the work grows with the parts and not with their pairs. A weak candidate is reported only where
+its complements are in its scope, however far off there: an identifier with a secret, a secret with an identifier, an
+endpoint with both. A link is a scope with all its identifiers, secrets and endpoints; the credentials in it are their
+combinations, which are not written out. All of it happens in the text's own row.
 
 Starts and ends are code points, the end exclusive. Null and empty texts have no spans. Rows are never joined, so
 repeated rows and null ids pass through with their own columns.
@@ -17,6 +20,7 @@ from __future__ import annotations
 import bisect
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,34 +40,22 @@ NAME_HINTS = (b"client", b"access", b"account", b"tenant", b"user", b"login")
 MIXED = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 URL = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+|\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:[0-9]{2,5}\b""")
 BLANK = re.compile(r"\n[\x20\t]*\n")
-REACH = 400
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 Span = tuple[str, int, int]
+Link = tuple[int, int, list[Span], list[Span], list[Span]]
 
 
-class Nearest:
-    """Finds, for a span, the nearest of some spans in its scope and within REACH."""
+class Cover:
+    """Tells which intervals overlap one of some spans."""
 
-    def __init__(self, spans: list[Span], scopes: list[int]) -> None:
-        self.scopes = scopes
-        self.starts = sorted(spans, key=lambda s: (s[1], s[2]))
-        self.ends = sorted(spans, key=lambda s: (s[2], s[1]))
-        self.start_keys = [s[1] for s in self.starts]
-        self.end_keys = [s[2] for s in self.ends]
+    def __init__(self, spans: list[Span]) -> None:
+        spans = sorted(spans, key=lambda s: s[1])
+        self.starts = [s[1] for s in spans]
+        self.ends = list(accumulate((s[2] for s in spans), max))
 
-    def to(self, span: Span) -> Span | None:
-        """The nearest of those that doesn't overlap this one; of two as near, the earlier."""
-        _, start, end = span
-        scope = bisect.bisect_right(self.scopes, start)
-        near = lambda s: max(s[1] - end, start - s[2]) <= REACH and bisect.bisect_right(self.scopes, s[1]) == scope
-        best = None
-        i = bisect.bisect_right(self.end_keys, start) - 1
-        if i >= 0 and near(self.ends[i]):
-            best = self.ends[i]
-        j = bisect.bisect_left(self.start_keys, end)
-        if j < len(self.starts) and near(self.starts[j]) and (best is None or self.starts[j][1] - end < start - best[2]):
-            best = self.starts[j]
-        return best
+    def hits(self, start: int, end: int) -> bool:
+        i = bisect.bisect_left(self.starts, end)
+        return i > 0 and self.ends[i - 1] > start
 
 
 def base_spans(text: str) -> list[Span]:
@@ -80,35 +72,32 @@ def _weak_secret(run: str) -> bool:
     return any(c.isdigit() for c in run) and any(c.islower() for c in run) and any(c.isupper() for c in run)
 
 
-def linked(text: str, base: list[Span]) -> tuple[list[Span], list[tuple[Span, Span, Span | None]]]:
-    """The weak spans to report, and for each secret with an identifier: identifier, secret, endpoint if any."""
-    access = [s for s in base if s[0] == "access"]
+def weak_parts(text: str, base: list[Span]) -> tuple[list[Span], list[Span], list[Span]]:
+    """The weak identifiers, secrets and endpoints of a text, reported or not. None overlaps a base span but endpoints; no secret lies in another part."""
     raw = text.encode("utf-8", "replace").lower()
-    taken = Nearest(base, [])
-
-    def free(start: int, end: int) -> bool:
-        i = bisect.bisect_right(taken.end_keys, start)
-        return i >= len(taken.ends) or all(s[1] >= end for s in taken.ends[i : i + 3])
-
-    names = [("identifier", *m.span(1)) for m in NAMES.finditer(text) if free(*m.span(1))] if any(k in raw for k in NAME_HINTS) else []
-    if not access and not names:
+    strong = Cover(base)
+    names = [("identifier", *m.span(1)) for m in NAMES.finditer(text) if not strong.hits(*m.span(1))] if any(k in raw for k in NAME_HINTS) else []
+    if not names and not any(s[0] == "access" for s in base):
+        return [], [], []
+    urls = [("endpoint", *m.span()) for m in URL.finditer(text)]
+    held = Cover(base + names + urls)
+    return names, [("secret", *m.span()) for m in MIXED.finditer(text) if _weak_secret(m[0]) and not held.hits(*m.span())], urls
+
+
+def linked(text: str, base: list[Span]) -> tuple[list[Span], list[Link]]:
+    """The weak spans to report; and start, end, identifiers, secrets and endpoints of every scope with an identifier and a secret."""
+    names, secrets, urls = weak_parts(text, base)
+    if not names and not any(s[0] == "access" for s in base):
         return [], []
-    strong = [s for s in base if s[0] == "assign"]
-    weak = [("secret", *m.span()) for m in MIXED.finditer(text) if _weak_secret(m[0]) and free(*m.span())]
-    named = Nearest(names, [])
-    weak = [s for s in weak if not any(n[1] < s[2] and s[1] < n[2] for n in named.starts[max(0, bisect.bisect_left(named.start_keys, s[1]) - 1) :][:2])]
-    urls = [("endpoint", *m.span()) for m in URL.finditer(text)] if strong or weak else []
-    weak = _outside(weak, urls)
-    scopes = [m.end() for m in BLANK.finditer(text)]
-    to_name, to_secret, to_url = Nearest(access + names, scopes), Nearest(strong + weak, scopes), Nearest(urls, scopes)
-    out = [s for s in names if to_secret.to(s)] + [s for s in weak if to_name.to(s)]
-    out += [s for s in urls if to_name.to(s) and to_secret.to(s)]
-    return out, [(name, s, to_url.to(s)) for s in strong + weak if (name := to_name.to(s))]
-
-
-def _outside(spans: list[Span], others: list[Span]) -> list[Span]:
-    starts = [o[1] for o in others]
-    return [s for s in spans if not ((i := bisect.bisect_right(starts, s[1]) - 1) >= 0 and s[2] <= others[i][2])]
+    cuts = [m.span() for m in BLANK.finditer(text)]
+    starts, ends = [0, *(c[1] for c in cuts)], [*(c[0] for c in cuts), len(text)]
+    scopes: dict[int, tuple[list[Span], list[Span], list[Span]]] = {}
+    parts = ((names + [s for s in base if s[0] == "access"], 0), (secrets + [s for s in base if s[0] == "assign"], 1), (urls, 2))
+    for spans, part in parts:
+        for s in sorted(spans, key=lambda s: s[1:]):
+            scopes.setdefault(bisect.bisect_right(starts, s[1]) - 1, ([], [], []))[part].append(s)
+    links = [(starts[i], ends[i], *x) for i, x in sorted(scopes.items()) if x[0] and x[1]]
+    return [s for link in links for some in link[2:] for s in some if s[0] in KINDS[3:]], links
 
 
 def ordered(spans: list[Span]) -> list[Span]:
@@ -116,18 +105,20 @@ def ordered(spans: list[Span]) -> list[Span]:
 
 
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-LINKS = pa.list_(pa.struct([(f"{part}_{edge}", pa.int64()) for part in ("identifier", "secret", "endpoint") for edge in ("start", "end")]))
+PARTS = ("identifiers", "secrets", "endpoints")
+EDGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+LINKS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), *((p, EDGES) for p in PARTS)]))
 
 
 def scan(docs: DataFrame, text: str = "text", base: str = "base", spans: str = "spans", links: str = "links") -> DataFrame:
-    """docs with arrays of (kind, start, end): base, and spans with the linked weak ones too, by start and kind; and links.
+    """docs with arrays of (kind, start, end): base, and spans with the linked weak ones too, by start and kind; and links, by scope.
 
     Columns of docs that have these names already are replaced.
     """
     docs = docs.drop(base, spans, links)
     schema = docs.withColumns({
         base: F.expr("cast(null as array<struct<kind: string, start: bigint, end: bigint>>)"), spans: F.expr("cast(null as array<struct<kind: string, start: bigint, end: bigint>>)"),
-        links: F.expr(f"cast(null as array<struct<{', '.join(f'{f.name}: bigint' for f in LINKS.value_type)}>>)"),
+        links: F.expr(f"cast(null as array<struct<start: bigint, end: bigint, {', '.join(f'{p}: array<struct<start: bigint, end: bigint>>' for p in PARTS)}>>)"),
     }).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +130,7 @@ def scan(docs: DataFrame, text: str = "text", base: str = "base", spans: str = "
                 weak, links_ = linked(t or "", b)
                 found.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in ordered(b)])
                 every.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in ordered(b + weak)])
-                pairs.append([{f"{p}_{e}": s and s[k] for p, s in zip(("identifier", "secret", "endpoint"), link, strict=True) for e, k in (("start", 1), ("end", 2))} for link in links_])
+                pairs.append([{"start": a, "end": z} | {p: [{"start": s[1], "end": s[2]} for s in some] for p, some in zip(PARTS, held, strict=True)} for a, z, *held in links_])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, SPANS), pa.array(every, SPANS), pa.array(pairs, LINKS)], [*batch.schema.names, base, spans, links])
 
     return map_arrow(docs, run, schema)
