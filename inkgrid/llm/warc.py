@@ -10,11 +10,18 @@ that succeeded, so files of lost executors or repeated tasks are not read.
 Reading: spark.read.format("warc") plans byte ranges of the files as partitions. Predicates on record_type and on the
 header columns are evaluated on a record's headers, which are inflated first; records that fail are skipped by the
 length their gzip member states (others are inflated to their end), and payloads are not decoded with payload=false.
+A gzip member may hold any number of records.
+
+What is damaged (headers without end within HEADER bytes, a Content-Length that is no number, a record or member cut off,
+bytes that don't inflate, anything but a record where one should begin) becomes a row that has only file and an
+"x-error" among headers, and reading goes on at the next gzip member or, in plain files, the next line that begins a
+record; with mode=FAILFAST it raises. Such rows have no record_type, so predicates on header columns leave them out.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import struct
 import urllib.parse
 import uuid
@@ -33,6 +40,8 @@ from inkgrid.session import map_arrow, ship
 
 #: Bytes of the least payload that may be revisited, of a file when the next one begins, and of a partition when read.
 REVISIT, ROLL, RANGE = 1000, 256 << 20, 64 << 20
+#: Bytes of the longest headers of a record.
+HEADER = 1 << 20
 #: The WARC-Profile of revisits with equal payload, and the magic and subfield of gzip members.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC, SKIP = b"\x1f\x8b\x08", b"sl"
@@ -78,11 +87,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> int:
     """Writes page_id, url and html of pages as WARC files in path; gives the number of files."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"), F.sha1(payload).alias("digest"))
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"), F.xxhash64(payload).alias("second"))
     large = rows.where(F.octet_length("payload") >= REVISIT)
-    copies = large.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("last")).where("n > 1 and last is not null")
-    # copies has a row for a digest; a digest with many pages is a skewed key of this join only, which adaptive execution splits
-    marked = rows.join(copies.select("digest", "last"), "digest", "left")
+    same = ["digest", "bytes", "second"]  # payloads are taken as equal when two digests and the length are
+    copies = large.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("last")).where("n > 1 and last is not null")
+    # copies has a row for a payload; one with many pages is a skewed key of this join only, which adaptive execution splits
+    marked = rows.join(copies.select(*same, "last"), same, "left")
     marked = marked.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
     files = [r.file for r in map_arrow(marked, _writer(path, date), "file string").collect()]
     system, root = file_system(path)
@@ -121,7 +131,7 @@ class Range(InputPartition):
 
 
 class WarcSource(DataSource):
-    """Options: path (a folder, or a file), payload (false leaves payloads out), range (bytes of a partition)."""
+    """Options: path (a folder, or a file), payload (false leaves payloads out), range (bytes of a partition), mode (FAILFAST raises where a file is damaged)."""
 
     @classmethod
     def name(cls) -> str:
@@ -139,6 +149,7 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.payload = str(options.get("payload", "true")).lower() != "false"
         self.range = int(options.get("range", RANGE))
+        self.strict = str(options.get("mode", "")).upper() == "FAILFAST"
         self.wanted: list[tuple[str, frozenset | None]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -186,27 +197,39 @@ class WarcReader(DataSourceReader):
         return all((v := _value(c, headers)) is not None and (allowed is None or v in allowed) for c, allowed in self.wanted)
 
     def _records(self, f: pa.NativeFile, part: Range) -> Iterator[tuple[dict[str, str], bytes | None]]:
-        """The wanted records that begin in a range of bytes."""
+        """The wanted records of the members (or, in plain files, records) that begin in a range of bytes."""
         zipped = part.file.endswith(".gz")
         at = _next_member(f, part.start, part.end) if zipped and part.start else part.start
         while at is not None and at < part.end:
-            source = Inflating(f, at) if zipped else Plain(f, at)
-            headers = source.headers()
-            if headers is None:
-                return
-            length = int(headers.get("content-length", 0))
-            payload = None
-            if self._keep(headers):
-                if self.payload and headers.get("warc-type") != "revisit":
-                    block = source.read(length)
-                    payload = block.partition(b"\r\n\r\n")[2] if "application/http" in headers.get("content-type", "") else block
-                yield headers, payload
-            at = source.end(length)
+            source = Source(f, at, zipped)
+            try:
+                while (headers := source.headers()) is not None:
+                    length = headers.get("content-length", "")
+                    if not re.fullmatch("[0-9]{1,18}", length):
+                        raise Damaged(f"Content-Length is {length!r}")
+                    payload = None
+                    if self._keep(headers):
+                        if self.payload and headers.get("warc-type") != "revisit":
+                            block = source.read(int(length))
+                            payload = block.partition(b"\r\n\r\n")[2] if "application/http" in headers.get("content-type", "") else block
+                        elif not source.whole(int(length)):
+                            source.skip(int(length))
+                        yield headers, payload
+                    if source.whole(int(length)):
+                        break
+                    source.skip(int(length))
+                at = source.end()
+            except (Damaged, zlib.error) as e:
+                if self.strict:
+                    raise ValueError(f"{part.file} from byte {at} on: {e}") from e
+                if self._keep(error := {"x-error": str(e)}):
+                    yield error, None
+                at = _next_member(f, at + 1, part.end) if zipped else _next_record(f, source.begun + 1)
 
 
 def _value(column: str, headers: dict[str, str]) -> str | None:
     value = headers.get(COLUMNS[column])
-    if value is not None and column == "payload_digest" and value.lower().startswith("sha1:") and len(value) == 37:
+    if value is not None and column == "payload_digest" and re.fullmatch("(?i)sha1:[A-Z2-7]{32}", value):
         return base64.b32decode(value[5:].upper()).hex()
     return value
 
@@ -222,80 +245,120 @@ def _parse(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, colon, v in (line.partition(":") for line in lines[1:]) if colon}
 
 
-class Plain:
-    """A record of an uncompressed file."""
-
-    def __init__(self, f: pa.NativeFile, at: int) -> None:
-        self.f, self.at, self.data = f, at, b""
-
-    def _more(self, n: int) -> bool:
-        self.f.seek(self.at + len(self.data))
-        more = self.f.read(n)
-        self.data += more
-        return bool(more)
-
-    def headers(self) -> dict[str, str] | None:
-        while (cut := self.data.find(b"\r\n\r\n")) < 0:
-            if not self._more(4096):
-                return None
-        self.body = cut + 4
-        return _parse(self.data[:cut])
-
-    def read(self, length: int) -> bytes:
-        while len(self.data) < self.body + length and self._more(self.body + length - len(self.data)):
-            pass
-        return self.data[self.body : self.body + length]
-
-    def end(self, length: int) -> int:
-        return self.at + self.body + length + 4
+class Damaged(Exception):
+    """What is read isn't a whole record."""
 
 
-class Inflating:
-    """A record that is a gzip member; only as much of it is inflated as is asked for."""
+class Source:
+    """The records of a gzip member, or of the rest of a plain file, one after the other; only as much is inflated as is asked for."""
 
-    def __init__(self, f: pa.NativeFile, at: int) -> None:
-        self.f, self.at, self.data = f, at, b""
-        f.seek(at)
-        first = f.read(8192)
-        self.total = struct.unpack("<I", first[16:20])[0] if len(first) > 24 and first[3] & 4 and first[12:14] == SKIP else None
-        self.zip, self.taken = zlib.decompressobj(31), len(first)
-        self.waiting = first
+    def __init__(self, f: pa.NativeFile, at: int, zipped: bool) -> None:
+        self.f, self.at, self.taken, self.waiting, self.data = f, at, 0, b"", bytearray()
+        self.zip = zlib.decompressobj(31) if zipped else None
+        #: Where the record at hand begins (in plain files), its own length so far, and the compressed and raw length that the member states.
+        self.begun, self.body, self.stated, self.first = at, 0, None, True
+        if zipped:
+            f.seek(at)
+            self.waiting = f.read(8192)
+            self.taken = len(self.waiting)
+            if self.taken > 24 and self.waiting[3] & 4 and self.waiting[12:14] == SKIP:
+                stated = struct.unpack("<II", self.waiting[16:24])
+                self.stated = stated if at + stated[0] <= f.size() else None
 
-    def _inflate(self, most: int) -> bool:
-        if self.zip.eof:
+    def _more(self, most: int) -> bool:
+        """Adds up to most bytes to data; False at the end of the member or file."""
+        if self.zip and self.zip.eof:
             return False
         if not self.waiting:
             self.f.seek(self.at + self.taken)
-            self.waiting = self.f.read(1 << 18)
+            self.waiting = self.f.read(1 << 18 if self.zip else most)
             self.taken += len(self.waiting)
             if not self.waiting:
+                if self.zip:
+                    raise Damaged("the member is cut off")
                 return False
-        self.data += self.zip.decompress(self.waiting, most)
-        self.waiting = self.zip.unconsumed_tail
+        if self.zip:
+            self.data += self.zip.decompress(self.waiting, most)
+            self.waiting = self.zip.unconsumed_tail
+        else:
+            self.data += self.waiting
+            self.waiting = b""
         return True
 
     def headers(self) -> dict[str, str] | None:
-        while (cut := self.data.find(b"\r\n\r\n")) < 0:
-            if not self._inflate(4096):
+        """The headers of the next record; None where none follows."""
+        while True:
+            blank = len(self.data) - len(self.data.lstrip(b"\r\n"))
+            self.data, self.begun = self.data[blank:], self.begun + blank
+            if len(self.data) >= 5:
+                break
+            if not self._more(4096):
+                if self.data:
+                    raise Damaged("no record begins here")
                 return None
+        if not self.data.startswith(b"WARC/"):
+            raise Damaged("no record begins here")
+        while (cut := self.data.find(b"\r\n\r\n")) < 0:
+            if len(self.data) > HEADER or not self._more(4096):
+                raise Damaged("headers without end")
         self.body = cut + 4
-        return _parse(self.data[:cut])
+        return _parse(bytes(self.data[:cut]))
 
     def read(self, length: int) -> bytes:
-        while (left := self.body + length - len(self.data)) > 0 and self._inflate(left):
-            pass
-        return self.data[self.body : self.body + length]
-
-    def end(self, length: int) -> int | None:
-        if self.total:
-            return self.at + self.total
+        while (left := self.body + length - len(self.data)) > 0:
+            if not self._more(left):
+                raise Damaged("the record is cut off")
+        return bytes(self.data[self.body : self.body + length])
+
+    def whole(self, length: int) -> bool:
+        """Whether the member says that it holds just this record, so that its end needs no inflating."""
+        return self.stated is not None and self.first and self.stated[1] == self.body + length + 4
+
+    def skip(self, length: int) -> None:
+        """Goes to the end of the record, once."""
+        left = self.body + length
+        if self.body == 0:
+            return
+        if self.zip:
+            while left > len(self.data):
+                left -= len(self.data)
+                self.data = bytearray()
+                if not self._more(min(left, 1 << 20)):
+                    raise Damaged("the record is cut off")
+            self.data = self.data[left:]
+        elif left <= len(self.data):
+            self.data = self.data[left:]
+        else:  # a plain file is not read through
+            if self.f.size() < self.begun + left:
+                raise Damaged("the record is cut off")
+            self.taken, self.data, self.waiting = self.begun + left - self.at, bytearray(), b""
+        self.begun += self.body + length
+        self.body, self.first = 0, False
+
+    def end(self) -> int | None:
+        """Where the next member begins; a plain file is read to its end at once."""
+        if not self.zip:
+            return None
+        if self.stated is not None and self.first:
+            return self.at + self.stated[0]
         while not self.zip.eof:
-            self.data = b""
-            if not self._inflate(1 << 20):
-                return None
+            self.data = bytearray()
+            self._more(1 << 20)
         return self.at + self.taken - len(self.zip.unused_data)
 
 
+def _next_record(f: pa.NativeFile, start: int) -> int | None:
+    """Where the next line of a plain file that begins a record is."""
+    at, window = start, 1 << 20
+    while at < f.size():
+        f.seek(at)
+        k = f.read(window + 16).find(b"\nWARC/1.")
+        if k >= 0:
+            return at + k + 1
+        at += window
+    return None
+
+
 def _next_member(f: pa.NativeFile, start: int, end: int) -> int | None:
     """The first member of a record that begins in a range: a gzip magic whose contents begin with a WARC version."""
     at, window = start, 1 << 16
