@@ -24,3 +24,8 @@ def words(text: Column) -> Column:
 def fold(column: Column, buckets: int) -> Column:
     """crc32 of a value's decimal text modulo buckets; a null value counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % buckets
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """128 bits that tell rows apart by id and text, as a struct of two longs."""
+    return F.struct(F.xxhash64(F.col(doc_id), F.col(text)).alias("a"), F.xxhash64(F.lit(1), F.col(doc_id), F.col(text)).alias("b"))

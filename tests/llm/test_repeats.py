@@ -53,6 +53,21 @@ def test_edges(spark):
     assert {g[0] for g in got} == {5, None, 10, 12} and all(g[4] == (3,) for g in got)
 
 
+def test_ties_keep_exactly_one(spark):
+    """Of texts with one doc_id, or with none, that share a passage, one keeps it; every keeper of a span is listed with its words."""
+    passage = " ".join(f"word{i} a b{i} c d{i}." for i in range(12))
+    for doc in (None, 4):
+        rows = [(doc, f"first own words {passage}"), (doc, f"second own words {passage}"), (doc, passage), (doc, passage)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        left = [r.text for r in R.drop_repeats(df).collect()]
+        kept = {t for t in left if "word5 a b5" in t}
+        assert len(kept) == 1 and sum("word5 a b5" in t for t in left) == (2 if passage in kept else 1)
+    parts = [" ".join(f"p{k}word{i} a b{i} c d{i}." for i in range(3 if k else 8)) for k in range(4)]
+    rows = [(k, p) for k, p in enumerate(parts)] + [(9, " ".join(parts))]
+    (span,) = R.runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(k.doc_id, k.n_words) for k in span.keepers} == {(0, 40), (1, 15), (2, 15), (3, 15)} and span.doc_id == 9
+
+
 def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, key int, first int, start int")
     assert R.drop_repeats(df).columns == df.columns and R.runs(df).count() == 0 and R.drop_repeats(df).count() == 0
