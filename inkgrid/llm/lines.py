@@ -1,14 +1,14 @@
 """Line dedup with a log-template tree.
 
-A line of MIN_TOKENS words or more goes to a leaf of a tree of fixed depth: its number of tokens, then its DEPTH
-leading tokens, where a token with a digit counts as variable. Within a leaf, a token is constant at its position when
+A line with a word goes to a leaf of a tree of fixed depth: its number of tokens, then its DEPTH leading tokens (all,
+if it has fewer), where a token with a digit counts as variable. Within a leaf, a token is constant at its position when
 it stands there in MIN_DOCS lines or more (repeats included) and has no digit; other tokens are variable. The pattern
 of constants and variables is the line's template. A template that is constant in at least MIN_CONSTANT of its
 positions and occurs in MIN_DOCS documents or more is boilerplate: its lines are dropped everywhere but at their
 first occurrence (the smallest doc_id, then line number), so no content leaves the corpus altogether.
 
-Leaves, positions and templates are keyed by 64-bit hashes and counted by aggregations with partial sums; no task
-gathers a leaf. Null texts stay null, shorter lines (empty ones too) stay as they are, a text that loses all its lines
+Leaves, tokens, lines and templates are known by 64-bit hashes (lines and templates within their leaf), rows by 128 bits, and all
+are counted by aggregations with partial sums; no task gathers a leaf. Null texts stay null, lines without words stay as they are, a text that loses all its lines
 becomes empty, and repeated rows share their decisions. A null doc_id ranks first.
 """
 
@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgrid.llm.bitmap import bitmap, hit
-from inkgrid.llm.text import let, words
+from inkgrid.llm.text import let, row_key, words
 from inkgrid.session import materialise
 
-MIN_TOKENS, DEPTH, MIN_DOCS, MIN_CONSTANT = 4, 3, 3, 0.5
+DEPTH, MIN_DOCS, MIN_CONSTANT = 3, 3, 0.5
 
 
 def _variable(token: Column) -> Column:
@@ -30,15 +30,11 @@ def _variable(token: Column) -> Column:
 
 def _leaf(tokens: Column) -> Column:
     path = [_variable(F.get(tokens, F.lit(i))) for i in range(DEPTH)]
-    return F.when(F.size(tokens) >= MIN_TOKENS, F.xxhash64(F.size(tokens), *path))
-
-
-def _key(text: str) -> Column:
-    return F.xxhash64(F.col("doc_id"), F.col(text))
+    return F.when(F.size(tokens) > 0, F.xxhash64(F.size(tokens), *path))
 
 
 def boilerplate(docs: DataFrame, text: str = "text") -> DataFrame:
-    """key (a hash of doc_id and text) and dropped (the sorted numbers of the lines to drop) of the texts that lose any."""
+    """key (row_key) and dropped (the sorted numbers of the lines to drop) of the texts that lose any."""
     split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     leaves = F.array_compact(F.array_distinct(F.transform(split, lambda line: let(words(line), _leaf))))
     shared = docs.select(F.explode(leaves).alias("leaf")).groupBy("leaf").count().where(F.col("count") >= MIN_DOCS).select("leaf")
@@ -47,9 +43,9 @@ def boilerplate(docs: DataFrame, text: str = "text") -> DataFrame:
     def parsed(line: Column, i: Column) -> Column:
         return let(words(line), lambda t: F.struct(_leaf(t).alias("leaf"), i.alias("line_no"), t.alias("words")))
 
-    rows = docs.select(_key(text).alias("key"), "doc_id", F.explode(F.transform(split, parsed)).alias("x"))
+    rows = docs.select(row_key(text=text).alias("key"), "doc_id", F.explode(F.transform(split, parsed)).alias("x"))
     rows = rows.where(F.col("x.leaf").isNotNull() & hit(bitmap(shared, "leaf"), F.col("x.leaf")))
-    tokens = F.transform("x.words", lambda x: F.when(x.rlike("[0-9]"), F.lit(0)).otherwise(F.hash(x)))
+    tokens = F.transform("x.words", lambda x: F.when(x.rlike("[0-9]"), F.lit(0).cast("long")).otherwise(F.xxhash64(x).bitwiseOR(F.lit(1).cast("long"))))
     found = rows.select("key", "doc_id", "x.leaf", "x.line_no", tokens.alias("tokens")).withColumn("line", F.xxhash64("tokens"))
     found = materialise(found.join(shared, "leaf", "left_semi"), "line-candidates")
 
@@ -75,7 +71,7 @@ def drop_boilerplate(docs: DataFrame, text: str = "text", dropped: str | None =
     key, gone = "__inkgrid_key", "__inkgrid_dropped"
     docs = docs.drop(dropped) if dropped else docs
     lost = boilerplate(docs, text).withColumnsRenamed({"key": key, "dropped": gone})
-    both = docs.withColumn(key, _key(text)).join(lost, key, "left")
+    both = docs.withColumn(key, row_key(text=text)).join(lost, key, "left")
     lines = F.split(F.col(text), "\n")
     left = let(lines, lambda s: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(s) - 1), F.col(gone)), lambda i: F.get(s, i)), "\n"))
     cleaned = F.when(F.col(gone).isNull(), F.col(text)).otherwise(left)

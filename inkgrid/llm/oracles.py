@@ -40,10 +40,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def _lines() -> str:
-    leaf = ", ".join(["n", *(f"t[{i + 1}]" for i in range(lines.DEPTH))])
+    leaf = ", ".join(["n", *(f"coalesce(t[{i + 1}], '')" for i in range(lines.DEPTH))])
     return f"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
   raw AS (SELECT doc_id, i - 1 AS line_no, {_words("l[i]")} AS t FROM s, unnest(range(1, len(l) + 1)) u(i)),
-  m AS (SELECT doc_id, line_no, len(t) AS n, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '' ELSE x END) AS t FROM raw WHERE len(t) >= {lines.MIN_TOKENS}),
+  m AS (SELECT doc_id, line_no, len(t) AS n, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '' ELSE x END) AS t FROM raw WHERE len(t) > 0),
   keyed AS (SELECT *, ({leaf}) AS leaf FROM m),
   shared AS (SELECT leaf FROM keyed GROUP BY leaf HAVING count(DISTINCT doc_id) >= {lines.MIN_DOCS}),
   each AS (SELECT doc_id, line_no, n, leaf, i AS place, t[i] AS token FROM keyed JOIN shared USING (leaf), unnest(range(1, n + 1)) u(i)),

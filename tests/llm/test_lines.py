@@ -13,7 +13,7 @@ def brute(rows):
     for k, (doc, text) in enumerate(rows):
         for n, line in enumerate((text or "").split("\n")):
             t = [x for x in SPACE.split(line) if x]
-            if len(t) >= L.MIN_TOKENS:
+            if t:
                 t = ["" if re.search("[0-9]", x) else x for x in t]
                 leaf = (len(t), *t[: L.DEPTH])
                 leaf_docs[leaf].add(k)
@@ -60,6 +60,12 @@ def test_templates_and_edges(spark):
     assert check(spark, rows) == 9
 
 
+def test_short_lines(spark):
+    """Lines of one to three words are templates too: exact ones and those with a number, not a number alone."""
+    rows = [(i, f"own words of text {chr(97 + i)}\nAll rights reserved.\nPage {i}\n{i}\nMenu\n\nonly {chr(97 + i)} here") for i in range(6)]
+    assert check(spark, rows) == 20  # the first line of each, the rights, the page and the menu
+
+
 def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, leaf int, key string, line_no int")
     out = L.drop_boilerplate(df)
