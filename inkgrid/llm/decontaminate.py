@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgrid.llm.bitmap import bitmap, hit
-from inkgrid.llm.text import let, words
+from inkgrid.llm.text import let, row_key
 from inkgrid.session import materialise
 
 #: Word positions that each mask looks at.
@@ -53,10 +53,6 @@ def _long(seeds: DataFrame, key: str) -> DataFrame:
     return seeds.select(key, "at", F.explode(F.array(*(f"seed{k}" for k in range(len(MASKS))))).alias("seed")).where("seed is not null")
 
 
-def _key(id_: str, text: str) -> Column:
-    return F.xxhash64(F.col(id_), F.col(text))
-
-
 def _best(item: Column, doc: Column, offset: Column) -> Column:
     """The most words of a window of the item that equal the document's at this offset."""
     width = F.least(F.size(item), F.lit(WINDOW))
@@ -70,18 +66,18 @@ def _best(item: Column, doc: Column, offset: Column) -> Column:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, key (a hash of doc_id and text), item_id, matched (words equal in the best window) and window (its length)."""
-    items = benchmark.select("item_id", "text").distinct().select("item_id", _key("item_id", "text").alias("item"), tokens(F.col("text")).alias("words"))
+    """doc_id, key (row_key), item_id, matched (words equal in the best window) and window (its length)."""
+    items = benchmark.select("item_id", "text").distinct().select("item_id", row_key("item_id", "text").alias("item"), tokens(F.col("text")).alias("words"))
     items = materialise(items, "benchmark-words")
     seeds = materialise(_long(_seeds(items, "item", F.col("words")), "item").withColumnRenamed("at", "item_at"), "benchmark-seeds")
     bits = bitmap(seeds, "seed")
-    found = _seeds(docs.select(_key("doc_id", text).alias("key"), F.col(text).alias("text")), "key", tokens(F.col("text")))
+    found = _seeds(docs.select(row_key("doc_id", text).alias("key"), F.col(text).alias("text")), "key", tokens(F.col("text")))
     some = F.lit(False)
     for k in range(len(MASKS)):
         some = some | hit(bits, F.col(f"seed{k}"))
     hits = _long(found.where(some), "key").where(hit(bits, F.col("seed"))).join(seeds, "seed")
     lines = materialise(hits.select("key", "item", (F.col("at") - F.col("item_at")).alias("offset")).distinct(), "benchmark-alignments")
-    texts = docs.select("doc_id", _key("doc_id", text).alias("key"), F.col(text).alias("text")).join(lines.select("key").distinct(), "key", "left_semi").distinct()
+    texts = docs.select("doc_id", row_key("doc_id", text).alias("key"), F.col(text).alias("text")).join(lines.select("key").distinct(), "key", "left_semi").distinct()
     aligned = lines.join(texts.select("key", "doc_id", tokens(F.col("text")).alias("doc_words")), "key").join(items, "item")
     width = F.least(F.size("words"), F.lit(WINDOW))
     scored = aligned.select("key", "doc_id", "item_id", _best(F.col("words"), F.col("doc_words"), F.col("offset")).alias("matched"), width.alias("window"))
@@ -92,4 +88,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text")
     """The rows of docs that overlap no benchmark item."""
     key = "__inkgrid_key"
     leaked = materialise(overlaps(docs, benchmark, text).select(F.col("key").alias(key)).distinct(), "benchmark-leaks")
-    return docs.withColumn(key, _key("doc_id", text)).join(leaked, key, "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    return docs.withColumn(key, row_key("doc_id", text)).join(leaked, key, "left_anti").select(*(f"`{c}`" for c in docs.columns))

@@ -90,7 +90,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkgrid.llm.repeats import runs
 
-    return runs(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "n_units", "n_words", "kept_doc_ids")
+    keepers = F.array_join(F.transform("keepers", lambda k: F.concat_ws(":", F.coalesce(k.doc_id.cast("string"), F.lit("")), k.n_words.cast("string"))), ",")
+    return runs(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "n_units", "n_words", "kept_doc_ids", keepers.alias("keepers"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkgrid.llm.text import row_key
 from inkgrid.operators.graph import components
 from inkgrid.session import map_arrow, materialise
 
@@ -59,12 +60,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, rk (a hash of doc_id and text that tells rows apart) and fp of every row."""
-    rows = docs.select(F.col("doc_id").cast("long"), row_key(text).alias("rk"), F.col(text).alias("text"))
-    return map_arrow(rows, _fingerprints, "doc_id long, rk long, fp long")
-
-
-def row_key(text: str = "text"):
-    return F.xxhash64("doc_id", F.col(text))
+    rows = docs.select(F.col("doc_id").cast("long"), row_key(text=text).alias("rk"), F.col(text).alias("text"))
+    return map_arrow(rows, _fingerprints, "doc_id long, rk struct<a: bigint, b: bigint>, fp long")
 
 
 def blocks(m: int) -> list[int]:
@@ -229,5 +226,5 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row of docs for each component: that with the smallest doc_id; of rows with one doc_id and text, one."""
     key = "__inkgrid_rk"
     kept = near_duplicates(docs, text).where("rk = keeper").select(F.col("keeper").alias(key)).distinct()
-    out = docs.withColumn(key, row_key(text)).join(kept, key, "left_semi")
+    out = docs.withColumn(key, row_key(text=text)).join(kept, key, "left_semi")
     return out.dropDuplicates([key]).select(*(f"`{c}`" for c in docs.columns))
