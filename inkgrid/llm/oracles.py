@@ -59,9 +59,12 @@ SELECT doc_id, CAST(coalesce(len(dropped), 0) AS BIGINT) AS n_dropped, coalesce(
 def _decontaminate() -> str:
     cut = r"[\x20\x09-\x0D.,;:!?\"''()\[\]{}]+".replace('\\"', '"')
     tokens = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{cut}'), lambda x: x <> '')"
-    seeds = lambda t, id_: " UNION ALL ".join(f"SELECT {id_}, i AS place, {k} AS k, [{', '.join(f't[i + {p}]' for p in mask)}] AS seed FROM {t}, unnest(range(1, len(t) + 1 - {mask[-1]})) u(i)" for k, mask in enumerate(decontaminate.MASKS))
+    def seeds(t: str, id_: str, items: bool) -> str:
+        each = lambda k, mask, low, high: f"SELECT {id_}, i AS place, {k} AS k, [{', '.join(f't[i + {p}]' for p in mask)}] AS seed FROM {t}, unnest(range(1, len(t) + 1 - {mask[-1]})) u(i)" + (f" WHERE len(t) BETWEEN {low} AND {high}" if items else f" WHERE EXISTS (SELECT 1 FROM b WHERE len(b.t) BETWEEN {low} AND {high})")
+        return " UNION ALL ".join(each(k, *m) for k, m in enumerate(decontaminate.seed_masks()))
+
     return f"""WITH d AS (SELECT DISTINCT doc_id, text, {tokens} AS t FROM documents), b AS (SELECT DISTINCT item_id, text, {tokens} AS t FROM benchmark),
-  ds AS ({seeds("d", "doc_id")}), bs AS ({seeds("b", "item_id")}),
+  ds AS ({seeds("d", "doc_id", False)}), bs AS ({seeds("b", "item_id", True)}),
   lines AS (SELECT DISTINCT doc_id, item_id, ds.place - bs.place AS o FROM ds JOIN bs ON ds.k = bs.k AND ds.seed = bs.seed),
   eq AS (SELECT l.doc_id, l.item_id, l.o, least(len(b.t), {decontaminate.WINDOW}) AS width, list_transform(b.t, lambda x, i: CASE WHEN i + o >= 1 AND x = d.t[i + o] THEN 1 ELSE 0 END) AS same FROM lines l JOIN d USING (doc_id) JOIN b USING (item_id)),
   best AS (SELECT doc_id, item_id, width, list_max(list_transform(range(1, len(same) - width + 2), lambda i: list_sum(list_slice(same, i, i + width - 1)))) AS matched FROM eq)
