@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkgrid.llm.bitmap import bitmap, hit
 from inkgrid.llm.text import let, words
 from inkgrid.session import materialise
 
@@ -166,8 +167,15 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that quality() keeps, with docs' own columns; texts are measured again instead of being shuffled."""
-    cutoffs = materialise(fit_cutoffs(materialise(measure(docs), "quality-metrics"), labels), "quality-cutoffs")
+    """The documents that quality() keeps, with docs' own columns.
+
+    Cutoffs are fitted on what may be labelled documents by a bitmap of their ids (the join in fit_cutoffs decides), so that
+    other texts are measured once, and none is shuffled.
+    """
+    h, ids = "__inkgrid_h", F.xxhash64(F.col("doc_id").cast("long"))
+    marked = labels.where("doc_id is not null and quality is not null").select(ids.alias(h))
+    held = docs.where(hit(bitmap(marked, h), ids))
+    cutoffs = materialise(fit_cutoffs(materialise(measure(held), "quality-metrics"), labels), "quality-cutoffs")
     m, s = "__inkgrid_m", F.coalesce(F.col("lang").cast("string"), F.lit(""))
     # a generator, since a filter would otherwise take the place of the projection and measure each text again for every feature
     seen = docs.select("*", F.explode(F.array(metrics(F.col("text")))).alias(m))
