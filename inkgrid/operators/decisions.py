@@ -48,19 +48,31 @@ def structure_score(signals: dict[str, Column]) -> Column:
 
 
 def scale(hypotheses: DataFrame, keys: list[str], agreement: float = 0.05, rival: float = 0.5) -> DataFrame:
-    """hypotheses: value, weight, source. One value for each key: values within agreement of the least one of a chain are one
-    cluster at their weighted mean; a rival of half the heaviest cluster's weight is a conflict, two kinds of source confirm."""
-    w = Window.partitionBy(*keys).orderBy("value")
-    # values in order; a new cluster begins where a value exceeds the one before by more than agreement
-    cut = hypotheses.withColumn("_new", F.coalesce((F.col("value") > F.lag("value").over(w) * (1 + agreement)).cast("int"), F.lit(0)))
-    cut = cut.withColumn("cluster", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0)))
-    mean = F.sum(F.col("value") * F.col("weight")) / F.sum("weight")
-    clusters = cut.groupBy(*keys, "cluster").agg(F.round(F.sum("weight"), 9).alias("weight"), F.round(mean, 9).alias("value"), F.count_distinct("source").alias("sources"))
-    order = Window.partitionBy(*keys).orderBy(F.desc("weight"), "value")
-    ranked = clusters.withColumns({"place": F.row_number().over(order), "next": F.lead("weight").over(order)}).where("place = 1")
-    clash = F.coalesce(F.col("next") >= rival * F.col("weight"), F.lit(False))
-    state = F.when(clash, "SCALE_CONFLICT").when(F.col("sources") >= 2, "SCALE_CONFIRMED").otherwise("RESOLVED")
-    return ranked.select(*keys, state.alias("state"), F.when(~clash, F.col("value")).alias("value"), "weight", "sources")
+    """hypotheses: value, weight, source. One value for each key, the weighted mean of the heaviest cluster; a rival of half its weight
+    is a conflict, two kinds of source confirm.
+
+    By source and value, each hypothesis joins the first cluster whose weighted mean it agrees with, or begins one. Equal
+    hypotheses count together, so a key's row holds its distinct ones only.
+    """
+    once = hypotheses.groupBy(*keys, "source", "value").agg(F.sum("weight").alias("weight"))
+    rows = once.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("source", F.col("value").cast("double").alias("value"), F.col("weight").cast("double").alias("weight")))).alias("h"))
+
+    def grown(clusters: Column, h: Column) -> Column:
+        mean = lambda c: c.sum / c.weight
+        at = F.array_position(F.transform(clusters, lambda c: F.abs(h.value - mean(c)) <= agreement * mean(c)), F.lit(True))
+        new = F.struct((h.value * h.weight).alias("sum"), h.weight.alias("weight"), h.value.alias("first"), F.array(h.source).alias("sources"))
+        more = lambda c: F.struct((c.sum + h.value * h.weight).alias("sum"), (c.weight + h.weight).alias("weight"), c.first.alias("first"), F.array_union(c.sources, F.array(h.source)).alias("sources"))
+        return F.when(at == 0, F.concat(clusters, F.array(new))).otherwise(F.transform(clusters, lambda c, i: F.when(i + 1 == at, more(c)).otherwise(c)))
+
+    none = F.expr("cast(array() as array<struct<sum: double, weight: double, first: double, sources: array<string>>>)")
+    clusters = F.aggregate("h", none, grown)
+    ordered = F.array_sort(F.transform(clusters, lambda c: F.struct((-F.round(c.weight, 9)).alias("order"), c.first.alias("first"), c.alias("c"))))
+    best, second = F.get("ordered", F.lit(0)).c, F.get("ordered", F.lit(1)).c
+    out = rows.withColumn("ordered", ordered).withColumns({"best": best, "next": second.weight})
+    clash = F.coalesce(F.round("next", 9) >= rival * F.round("best.weight", 9), F.lit(False))
+    state = F.when(clash, "SCALE_CONFLICT").when(F.size("best.sources") >= 2, "SCALE_CONFIRMED").otherwise("RESOLVED")
+    value = F.round(F.col("best.sum") / F.col("best.weight"), 9)
+    return out.select(*keys, state.alias("state"), F.when(~clash, value).alias("value"), F.round("best.weight", 9).alias("weight"), F.size("best.sources").cast("long").alias("sources"))
 
 
 def metres_per_point(ratio: Column) -> Column:

@@ -75,14 +75,15 @@ def _ends(ends: DataFrame) -> DataFrame:
     return ends.select(F.col("u").alias("n"), "o").unionByName(ends.select(F.col("v").alias("n"), "o"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """seeds: node, label. edges: u, v, used both ways. Each reached node with depth and the sorted set of labels that
-    reach it first; more than one label means that the nearest is not unique. At most `most` steps.
+    reach it first; more than one label means that the nearest is not unique. Steps go on until none is reached, or `most`.
     """
     both = materialise(_both(edges).distinct(), "propagate")
     front = materialise(seeds.groupBy("node").agg(F.array_sort(F.collect_set("label")).alias("labels")).withColumn("depth", F.lit(0)), "propagate")
-    done = front
-    for step in range(1, most + 1):
+    done, step = front, 0
+    while most is None or step < most:
+        step += 1
         new = front.join(both, front.node == both.u).select(F.col("v").alias("node"), "labels").join(done.select("node"), "node", "left_anti")
         new = new.groupBy("node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("labels")))).alias("labels")).withColumn("depth", F.lit(step))
         front = materialise(new, "propagate")

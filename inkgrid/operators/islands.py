@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 
 def upper_median(column: str) -> Column:
-    """Aggregate: the value at place n div 2 of the sorted values, counted from 0. For groups that fit a task."""
-    values = F.array_sort(F.collect_list(column))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+    """Aggregate: the value at place n div 2 of the sorted values, counted from 0, as a double; counts by value are merged, so groups may be large."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)")
 
 
 def lowest_mode(column: str) -> Column:
@@ -25,13 +24,17 @@ def islands(df: DataFrame, keys: list[str], start: str, end: str, gap: Column, o
 
 
 def words(chars: DataFrame, keys: list[str], height: str, factor: float = 2.2, share: float = 0.45) -> DataFrame:
-    """chars: start, end, char. Lines with spaces where a gap exceeds both factor times the line's upper median gap and a share of its height."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    spaced = chars.withColumn("gap", F.col("start") - F.lag("end").over(w))
-    limit = spaced.groupBy(*keys).agg(upper_median("gap").alias("usual"), F.max(height).alias("tall"))
-    joined = spaced.join(limit, keys).withColumn("piece", F.concat(F.when(F.col("gap") > F.greatest(factor * F.coalesce("usual", F.lit(0.0)), share * F.col("tall")), " ").otherwise(""), F.coalesce("char", F.lit("�"))))
-    pieces = F.array_sort(F.collect_list(F.struct("start", "end", "piece")))
-    return joined.groupBy(*keys).agg(F.array_join(F.transform(pieces, lambda p: p.piece), "").alias("text"))
+    """chars: start, end, char. Lines with spaces where a gap exceeds both factor times the line's upper median gap and a share of its height.
+
+    A line is one row of its characters in order.
+    """
+    lines = chars.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.coalesce("char", F.lit("\ufffd")).alias("char")))).alias("c"), F.max(height).alias("tall"))
+    before = F.slice("c", 1, F.size("c") - 1)
+    gaps = F.zip_with(F.slice("c", 2, F.size("c") - 1), before, lambda x, y: x.start - y.end)
+    usual = F.get(F.array_sort("gaps"), F.floor(F.size("gaps") / 2).cast("int"))
+    limit = F.greatest(factor * F.coalesce(usual, F.lit(0.0)), share * F.col("tall"))
+    spaced = F.transform("c", lambda x, i: F.concat(F.when(F.get("gaps", i - 1) > F.col("limit"), " ").otherwise(""), x.char))
+    return lines.withColumn("gaps", gaps).withColumn("limit", limit).select(*keys, F.array_join(spaced, "").alias("text"))
 
 
 def regular(df: DataFrame, keys: list[str], at: str, least: int = 12, variation: float = 0.25) -> DataFrame:

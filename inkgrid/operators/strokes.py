@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgrid.functions import canon, geo
@@ -126,8 +126,29 @@ def artwork_regions(objects: DataFrame, keys: list[str], page_area: float, cell:
 
 
 def occurrences_on_sheet(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """texts with how often each one stands on its sheet."""
-    return texts.withColumn("repeats", F.count(F.lit(1)).over(Window.partitionBy(*keys, "text")))
+    """texts with how often each one stands on its sheet: counted, then joined, so that a text that is everywhere needs no window."""
+    counts = texts.groupBy(*(F.col(k).alias(f"_{k}") for k in [*keys, "text"])).agg(F.count(F.lit(1)).alias("repeats"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*keys, "text"]]
+    return texts.join(counts, same).drop(*(f"_{k}" for k in [*keys, "text"]))
+
+
+def like_signatures(glyphs: DataFrame, keys: list[str], most: float, signature: str = "signature", id_: str = "id") -> DataFrame:
+    """Pairs u < v of equal keys whose signatures are at most `most` apart in L1, with the distance.
+
+    Such signatures have sums at most as far apart, so rows meet only in neighbouring ranges of sums.
+    """
+    values = F.transform(signature, lambda x: x.cast("double"))
+    rows = glyphs.select(*keys, F.col(id_).alias("id"), values.alias("s")).withColumn("range", F.floor(F.aggregate("s", F.lit(0.0), lambda t, x: t + x) / most))
+    a = rows.select(*keys, F.col("id").alias("u"), F.col("s").alias("a"), F.explode(F.array(F.col("range") - 1, F.col("range"), F.col("range") + 1)).alias("range"))
+    b = rows.select(*keys, F.col("id").alias("v"), F.col("s").alias("b"), "range")
+    gap = F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda t, x: t + x)
+    return a.join(b, [*keys, "range"]).where("u < v").withColumn("distance", gap).where(F.col("distance") <= most).select(*keys, "u", "v", "distance")
+
+
+def shape_clusters(glyphs: DataFrame, keys: list[str], most: float, same: Column | None = None) -> DataFrame:
+    """glyphs with cluster: the least id that like signatures connect it with; same is a further test on the pairs' u, v and distance."""
+    pairs = like_signatures(glyphs, keys, most)
+    return graph.labelled(glyphs, pairs.where(same) if same is not None else pairs).withColumnRenamed("root", "cluster")
 
 
 def coincident(lines: DataFrame, keys: list[str]) -> DataFrame:

@@ -56,17 +56,16 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "lang", F.regexp_count("text", F.lit("(?i)license")).cast("long").alias("hits"))
 
 
-@query("""WITH w AS (SELECT doc_id, i, string_split(split_part(text, chr(10), 1), ' ') AS w, i AS at FROM documents, range(1, 6) r(i))
-  SELECT doc_id, array_to_string(list_slice(string_split(split_part(text, chr(10), 1), ' '), 1, 5), ' ') AS text FROM documents""")
+@query("""SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, trim(regexp_replace(l[i], ' +', ' ', 'g')) AS text
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) u(i) WHERE replace(l[i], ' ', '') <> ''""")
 def word_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five words of each text, put together again from characters placed along a line."""
+    """The words of every line of every text, put together again from characters placed along the line."""
     from inkgrid.operators.islands import words
 
-    head = F.slice(F.split(F.split("text", "\n")[0], " "), 1, 5)
-    chars = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.array_join(head, " "), "")).alias("at", "char"))
-    placed = chars.where("char <> ' '").select("doc_id", "char", (F.col("at") * 10.0).alias("start"), (F.col("at") * 10.0 + 9).alias("end"), F.lit(10.0).alias("height"))
-    lines = words(placed, ["doc_id"], "height")
-    return table(spark, sf_dir, "documents").select("doc_id").join(lines, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    chars = lines.select("doc_id", "line", F.posexplode(F.split("text", "")).alias("at", "char")).where("char <> ' ' and char <> ''")
+    placed = chars.select("doc_id", "line", "char", (F.col("at") * 10).alias("start"), (F.col("at") * 10 + 9).alias("end"), F.lit(10).alias("height"))
+    return words(placed, ["doc_id", "line"], "height")
 
 
 @query(f"""WITH {NOTES}, r AS (SELECT p_partkey % 7 AS sheet, CAST(regexp_extract(note, '1:([0-9]+)$', 1) AS DOUBLE) AS ratio FROM notes WHERE note LIKE '%1:%'),

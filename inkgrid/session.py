@@ -29,9 +29,11 @@ def local_session(cpus: int = 8, app: str = "inkgrid", memory: str = "8g") -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset and the master is local."""
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not configured and context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not configured:
         configured = f"file://{tempfile.mkdtemp(prefix='inkgrid-')}"
         context.setCheckpointDir(configured)
