@@ -132,5 +132,5 @@ def reconcile(candidates: DataFrame, runs: DataFrame, pipes: DataFrame) -> DataF
     bare = runs.join(members, "run", "left_anti")
     edges = runs.select(F.explode("edges").alias("edge")).groupBy("edge").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     a, b = runs.agg(F.coalesce(F.sum("length"), F.lit(0.0)).alias("a")), pipes.agg(F.coalesce(F.sum("length_pt"), F.lit(0.0)).alias("b"))
-    sums = a.unionByName(b.select(-F.col("b").alias("a"))).agg(F.sum("a").alias("d")).where(F.abs("d") > 0.01)
+    sums = a.unionByName(b.select((-F.col("b")).alias("a"))).agg(F.sum("a").alias("d")).where(F.abs("d") > 0.01)
     return gates({"duplicate_centrelines": lines, "run_in_two_pipes": twice, "uncovered_runs": bare, "edge_in_two_runs": edges, "length_difference": sums})

@@ -29,12 +29,16 @@ def words(chars: DataFrame, keys: list[str], height: str, factor: float = 2.2, s
     A line is one row of its characters in order.
     """
     lines = chars.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.coalesce("char", F.lit("\ufffd")).alias("char")))).alias("c"), F.max(height).alias("tall"))
-    before = F.slice("c", 1, F.size("c") - 1)
-    gaps = F.zip_with(F.slice("c", 2, F.size("c") - 1), before, lambda x, y: x.start - y.end)
-    usual = F.get(F.array_sort("gaps"), F.floor(F.size("gaps") / 2).cast("int"))
-    limit = F.greatest(factor * F.coalesce(usual, F.lit(0.0)), share * F.col("tall"))
-    spaced = F.transform("c", lambda x, i: F.concat(F.when(F.get("gaps", i - 1) > F.col("limit"), " ").otherwise(""), x.char))
-    return lines.withColumn("gaps", gaps).withColumn("limit", limit).select(*keys, F.array_join(spaced, "").alias("text"))
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  value is computed once a line
+    gaps = F.zip_with(F.slice("c", 2, F.size("c") - 1), F.slice("c", 1, F.size("c") - 1), lambda x, y: (x.start - y.end).cast("double"))
+
+    def joined(line: Column) -> Column:
+        usual = F.get(F.array_sort(line.gaps), F.floor(F.size(line.gaps) / 2).cast("int"))
+        limit = F.greatest(factor * F.coalesce(usual, F.lit(0.0)), share * line.tall)
+        before = F.concat(F.array(F.lit(None).cast("double")), line.gaps)
+        return once(F.struct(line.c.alias("c"), before.alias("before"), limit.alias("limit")), lambda z: F.array_join(F.zip_with(z.c, z.before, lambda x, g: F.concat(F.when(g > z.limit, " ").otherwise(""), x.char)), ""))
+
+    return lines.select(*keys, once(F.struct("c", "tall", gaps.alias("gaps")), joined).alias("text"))
 
 
 def regular(df: DataFrame, keys: list[str], at: str, least: int = 12, variation: float = 0.25) -> DataFrame:

@@ -77,11 +77,10 @@ def quantise_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.round(canon.quantise(F.col("o_totalprice"), 2) * 100).cast("long").alias("cents"), F.concat(F.lit("o_"), F.substring(F.sha2(key, 256), 1, 12)).alias("pen_id"))
 
 
-@query(f"WITH {S} SELECT page, count(*) AS n, sha256(string_agg(id || ':' || ax || ':' || ay, ',' ORDER BY id)) AS digest FROM strokes GROUP BY page")
+@query(f"""WITH {S} SELECT page, count(*) AS n, sha256('[' || string_agg('{{"id":' || id || ',"ax":' || ax || ',"ay":' || ay || '}}', ',' ORDER BY id) || ']') AS digest FROM strokes GROUP BY page""")
 def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest of each page that doesn't depend on the order of rows."""
-    rows = F.array_sort(F.collect_list(F.struct("id", F.concat_ws(":", "id", "ax", "ay").alias("row"))))
-    return strokes(spark, sf_dir).groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(rows, lambda r: r.row), ","), 256).alias("digest"))
+    return strokes(spark, sf_dir).groupBy("page").agg(F.count(F.lit(1)).alias("n"), canon.digest("id", "ax", "ay").alias("digest"))
 
 
 @query(f"WITH {S} SELECT id, page FROM strokes WHERE ax <= 160 AND bx >= 100 AND ay <= 140 AND by_ >= 80")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrid.functions import states
+from inkgrid.functions import canon, states
 from inkgrid.operators import aggregates, graph, islands
+from inkgrid.operators import strokes as strokes_of
+from inkgrid.operators.pipes import collapse_concentric, collapse_exact
+from inkgrid.operators.strokes import like_signatures
 from inkgrid.plans.catalogue import query
 from inkgrid.plans.lattice import LABELS, STROKES, labelled, strokes, table
 
@@ -75,20 +78,33 @@ def cap_height_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.cap_height(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity")
 
 
-@query("SELECT text AS kept_text, min(doc_id) AS doc_id, count(*) AS instances FROM documents GROUP BY text")
+LINES = """lines AS (SELECT id, layer, ax, ay, ax + 30 AS bx, ay AS by_, pen AS style, len AS width, custkey FROM strokes)"""
+
+
+def centrelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strokes as candidates of one length, so that some lie on each other."""
+    s = strokes(spark, sf_dir)
+    return s.select("layer", "ax", "ay", (F.col("ax") + 30).alias("bx"), F.col("ay").alias("by"), F.col("id").alias("candidate_id"), F.col("pen").alias("style"), F.col("len").alias("width"), F.array("custkey").alias("sources"))
+
+
+@query(f"""WITH {STROKES}, {LINES} SELECT layer, ax, ay, style, width, min(id) AS id, array_to_string(list_sort(list_distinct(list(custkey))), ',') AS sources, count(*) AS instances FROM lines GROUP BY layer, ax, ay, style, width""")
 def exact_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.col("text").alias("kept_text")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("instances"))
+    out = collapse_exact(centrelines(spark, sf_dir), ["layer"])
+    return out.select("layer", "ax", "ay", "style", "width", F.col("candidate_id").alias("id"), F.array_join(F.col("all_sources").cast("array<string>"), ",").alias("sources"), "instances")
 
 
-@query(f"WITH {STROKES} SELECT page, ax, ay, min(len) AS width, max(len) AS most_width, count(*) AS instances, min(id) AS id FROM strokes GROUP BY page, ax, ay")
+@query(f"""WITH {STROKES}, {LINES}, named AS (SELECT *, CASE style WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 3 END AS kind FROM lines)
+  SELECT layer, ax, ay, arg_min(id, (kind, width, id)) AS id, min(width) AS least_width, max(width) AS most_width, count(*) AS instances FROM named GROUP BY layer, ax, ay""")
 def concentric_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strokes(spark, sf_dir).groupBy("page", "ax", "ay").agg(F.min("len").alias("width"), F.max("len").alias("most_width"), F.count(F.lit(1)).alias("instances"), F.min("id").alias("id"))
+    style = F.when(F.col("style") == "1-URGENT", "double_line").when(F.col("style") == "2-HIGH", "dashed_line").otherwise("single_line")
+    out = collapse_concentric(centrelines(spark, sf_dir).withColumns({"style": style, "width": F.col("width").cast("double")}), ["layer"])
+    return out.select("layer", "ax", "ay", F.col("candidate_id").alias("id"), F.col("least_width").cast("long").alias("least_width"), F.col("most_width").cast("long").alias("most_width"), "instances")
 
 
-@query("SELECT event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS occurrence FROM events")
+@query("""SELECT event_id, 'ev:' || substr(sha1(user_id || '|' || event_type), 1, 12) || ':' || (row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1) AS id FROM events""")
 def occurrence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
-    return table(spark, sf_dir, "events").select("event_id", "event_type", (F.row_number().over(w) - 1).alias("occurrence"))
+    e = table(spark, sf_dir, "events").withColumn("place", canon.occurrence("user_id", "event_type", order=["event_id"]))
+    return e.select("event_id", canon.occurrence_id("ev", F.concat_ws("|", "user_id", "event_type"), F.col("place")).alias("id"))
 
 
 EDGES = """edges AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent, 'in_region' AS relation FROM nation
@@ -133,28 +149,53 @@ def bfs_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM got g FULL JOIN want w ON g.designation = w.designation AND g.size = w.size""")
 def truth_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A full outer comparison of two sets of quantities made of documents."""
+    return compared(spark, sf_dir).select("designation", F.col("size").cast("long").alias("size"), "outcome", F.col("total_m_difference").alias("difference"), F.col("total_m_right").alias("right"))
+
+
+def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkgrid.operators.evaluate import compare
 
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("designation"), F.expr("n_chars div 1000").alias("diameter"), "doc_id", "n_chars")
     count = lambda df: df.groupBy("designation", "diameter").agg(F.count(F.lit(1)).alias("total_m")).withColumns({"horizontal_m": F.col("total_m"), "vertical_m": F.col("total_m")})
-    out = compare(count(docs), count(docs.where("doc_id % 3 <> 0 and n_chars >= 500")))
-    return out.select("designation", F.col("size").cast("long").alias("size"), "outcome", F.col("total_m_difference").alias("difference"), F.col("total_m_right").alias("right"))
+    return compare(count(docs), count(docs.where("doc_id % 3 <> 0 and n_chars >= 500")))
 
 
-@query("SELECT toxic, quality, count(*) AS n, round(avg(CASE WHEN n_chars BETWEEN 500 AND 5000 THEN 1 ELSE 0 END), 6) AS accuracy FROM labels JOIN documents USING (doc_id) GROUP BY toxic, quality")
+@query("""SELECT doc_id, abs(n_chars - 1000 * (1 + quality)) <= greatest(0.05, 0.01 * abs(1000 * (1 + quality))) AS "right" FROM labels JOIN documents USING (doc_id)""")
 def length_within_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkgrid.operators.evaluate import within
+
     both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
-    return both.groupBy("toxic", "quality").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("n_chars").between(500, 5000).cast("int")), 6).alias("accuracy"))
+    return both.select("doc_id", within(F.col("n_chars"), 1000 * (1 + F.col("quality"))).alias("right"))
 
 
-@query("""SELECT a.vec_id AS u, b.vec_id AS v, a.label FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
-  WHERE list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: abs(CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))) <= 7.5""")
+@query("""WITH got AS (SELECT lang AS designation, n_chars // 1000 AS size, count(*) AS n FROM documents GROUP BY 1, 2), want AS (SELECT lang AS designation, n_chars // 1000 AS size, count(*) AS n FROM documents WHERE doc_id % 3 <> 0 AND n_chars >= 500 GROUP BY 1, 2),
+  o AS (SELECT w.n IS NOT NULL AND g.n IS NOT NULL AS tp, w.n IS NULL AS fp, g.n IS NULL AS fn, abs(g.n - w.n) <= greatest(0.05, 0.01 * abs(w.n)) AS good FROM got g FULL JOIN want w ON g.designation = w.designation AND g.size = w.size),
+  s AS (SELECT count(*) FILTER (tp) AS tp, count(*) FILTER (fp) AS fp, count(*) FILTER (fn) AS fn, round(avg(CAST(good AS INTEGER)), 6) AS accuracy FROM o)
+  SELECT tp, fp, fn, accuracy, round(tp / (tp + fp), 6) AS "precision", round(tp / (tp + fn), 6) AS recall FROM s""")
+def truth_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall and accuracy of the comparison of truth_compare."""
+    from inkgrid.operators.evaluate import summary
+
+    out = summary(compared(spark, sf_dir))
+    return out.select("tp", "fp", "fn", F.round("total_m_accuracy", 6).alias("accuracy"), F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+SIGNATURES = """sig AS (SELECT a.vec_id AS u, b.vec_id AS v, a.label FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
+  WHERE list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: abs(CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))) <= {most})"""
+
+
+@query(f"WITH {SIGNATURES.format(most=7.5)} SELECT u, v, label FROM sig")
 def signature_l1_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signatures of one block at most 7.5 apart in L1."""
-    e = table(spark, sf_dir, "embeddings")
-    a, b = (e.select(*(F.col(c).alias(p + c) for c in e.columns)) for p in ("a_", "b_"))
-    gap = F.aggregate(F.zip_with("a_embedding", "b_embedding", lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda t, x: t + x)
-    return a.join(b, (F.col("a_label") == F.col("b_label")) & (F.col("a_vec_id") < F.col("b_vec_id"))).where(gap <= 7.5).select(F.col("a_vec_id").alias("u"), F.col("b_vec_id").alias("v"), F.col("a_label").alias("label"))
+    return like_signatures(table(spark, sf_dir, "embeddings"), ["label"], 7.5, "embedding", "vec_id").select("u", "v", "label")
+
+
+@query(f"""WITH RECURSIVE {SIGNATURES.format(most=5.5)}, both_ways AS (SELECT u, v FROM sig UNION ALL SELECT v, u FROM sig), reach(n, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.n, b.v FROM reach r JOIN both_ways b ON r.m = b.u)
+  SELECT n AS id, min(m) AS "cluster" FROM reach GROUP BY n""")
+def shape_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures of one block connected by distances of at most 5.5."""
+    e = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("signature"))
+    return strokes_of.shape_clusters(e, ["label"], 5.5).select("id", "cluster")
 
 
 @query("""SELECT 'orders_without_customer' AS "check", count(*) AS offenders, count(*) = 0 AS passed FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)
@@ -169,11 +210,18 @@ def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-@query("""SELECT o_orderstatus AS status, count(*) AS n_orders, CAST(sum(n) AS BIGINT) AS n_lines, count(*) FILTER (n IS NULL) AS uncovered FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1""")
+@query("""WITH runs AS (SELECT o_orderkey AS run, o_custkey AS pipe, CAST(coalesce(sum(l_quantity), 0) AS DOUBLE) AS length FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+  twice AS (SELECT count(*) AS n FROM (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(*) > 1)), again AS (SELECT count(*) AS n FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey * 10 + l_linenumber HAVING count(*) > 1)), bare AS (SELECT count(*) AS n FROM runs WHERE run IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'))
+  SELECT 'duplicate_centrelines' AS "check", n AS offenders, n = 0 AS passed FROM twice UNION ALL SELECT 'run_in_two_pipes', 0, true UNION ALL SELECT 'uncovered_runs', n, n = 0 FROM bare
+  UNION ALL SELECT 'edge_in_two_runs', n, n = 0 FROM again UNION ALL SELECT 'length_difference', CAST(d > 0.01 AS BIGINT), d <= 0.01 FROM (SELECT abs(sum(length) - sum(length) FILTER (run NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'))) AS d FROM runs)""")
 def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders and the lines that cover them."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
-    return table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n_orders"), F.sum("n").alias("n_lines"), F.count_if(F.col("n").isNull()).alias("uncovered"))
+    """Invariants of orders as runs, lines as their edges and customers as pipes that leave out unfinished orders."""
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    edges = li.groupBy(F.col("l_orderkey").alias("run")).agg(F.collect_list(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edges"), F.sum("l_quantity").cast("double").alias("length"))
+    runs = o.select(F.col("o_orderkey").alias("run"), "o_custkey", "o_orderstatus").join(edges, "run", "left").withColumn("length", F.coalesce("length", F.lit(0.0)))
+    made = runs.where("o_orderstatus <> 'P'").groupBy(F.col("o_custkey").alias("pipe")).agg(F.collect_list("run").alias("runs"), F.sum("length").alias("length_pt"))
+    candidates = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("candidate_id"), F.col("l_partkey").alias("line"))
+    return aggregates.reconcile(candidates, runs, made)
 
 
 @query("""SELECT user_id AS job, max_by(state, event_id) AS state, count(*) FILTER (state = 'failed') AS failures, count(*) AS n_events FROM (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgrid.functions import tokens
@@ -50,10 +50,14 @@ def role_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.text_roles(n, "note").select("p_partkey", "role")
 
 
-@query("SELECT doc_id, lang, (length(text) - length(replace(lower(text), 'license', ''))) // 7 AS hits FROM documents WHERE lower(text) LIKE '%license%'")
+@query("SELECT CAST(doc_id % 10 AS INTEGER) AS page, 'text' AS type, CAST(doc_id AS VARCHAR) AS id, text AS detail FROM documents WHERE lower(text) LIKE '%license%'")
 def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike("(?i)license"))
-    return docs.select("doc_id", "lang", F.regexp_count("text", F.lit("(?i)license")).cast("long").alias("hits"))
+    from inkgrid.operators.search import Sheet
+
+    none = F.lit(None).cast("double")
+    texts = table(spark, sf_dir, "documents").select((F.col("doc_id") % 10).alias("page"), F.col("doc_id").alias("text_id"), "text", "lang").withColumns({c: none for c in ("x0", "y0", "x1", "y1")})
+    no_segments = texts.select(*(none.alias(c) for c in ("ax", "ay", "bx", "by"))).limit(0)
+    return Sheet(texts, no_segments, texts).search_text("license").select("page", "type", "id", "detail")
 
 
 @query("""SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, trim(regexp_replace(l[i], ' +', ' ', 'g')) AS text
@@ -101,6 +105,9 @@ def promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LABELS} SELECT label, p_partkey, count(*) OVER (PARTITION BY label) AS repeats, count(*) OVER (PARTITION BY split_part(label, '-', 1)) AS of_system FROM labelled")
 def pattern_recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = labelled(spark, sf_dir).withColumn("system", F.split("label", "-")[0])
-    n = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c))
-    return out.select("label", "p_partkey", n("label").alias("repeats"), n("system").alias("of_system"))
+    """How often each label stands there, and how often its system."""
+    from inkgrid.operators.strokes import occurrences_on_sheet
+
+    out = occurrences_on_sheet(labelled(spark, sf_dir).withColumn("text", F.col("label")), [])
+    of_system = occurrences_on_sheet(out.withColumnRenamed("repeats", "of_label").withColumn("text", F.split("label", "-")[0]), [])
+    return of_system.select("label", "p_partkey", F.col("of_label").alias("repeats"), F.col("repeats").alias("of_system"))

@@ -22,4 +22,4 @@ def test_filters_and_columns_reach_the_scan(spark):
     text = plan(catalogue.QUERIES["promotion"](spark, SF))
     assert "EqualTo(l_linenumber,7)" in text and "l_extendedprice" not in text
     text = plan(catalogue.QUERIES["text_search"](spark, SF))
-    assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in text
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in text
