@@ -106,14 +106,19 @@ def both_ways(forward: DataFrame, labels: DataFrame, pipes: DataFrame, keys: lis
 
 
 def alternative_readings(glyphs: DataFrame, keys: list[str], most: int = 8, least: float = 0.45) -> DataFrame:
-    """glyphs: place, character and alternatives (character, score) of a text. The text, and texts with one character changed, best first."""
-    order = F.array_sort(F.collect_list(F.struct("place", "character")))
-    text = glyphs.groupBy(*keys).agg(F.transform(order, lambda g: g.character).alias("characters"))
-    swaps = glyphs.select(*keys, "place", F.explode("alternatives").alias("a")).where(F.col("a.score") >= least)
-    both = swaps.join(text, keys).where(F.get("characters", F.col("place")) != F.col("a.character"))
-    changed = F.array_join(F.transform("characters", lambda c, i: F.when(i == F.col("place"), F.col("a.character")).otherwise(c)), "")
-    rows = both.select(*keys, changed.alias("text"), F.col("a.score").alias("score"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "text")
+    """glyphs: place, character and alternatives (character, score) of a text. The text, and the `most` best texts with one or two
+    characters read otherwise, by the product of their scores. A text is one row of its characters.
+    """
+    order = F.array_sort(F.collect_list(F.struct("place", "character", "alternatives")))
+    text = glyphs.groupBy(*keys).agg(order.alias("g")).withColumn("characters", F.transform("g", lambda g: g.character))
+    other = F.flatten(F.transform("g", lambda g, i: F.transform(F.filter(g.alternatives, lambda a: (a.score >= least) & (a.character != g.character)), lambda a: F.struct(i.alias("i"), a.character.alias("c"), a.score.alias("score")))))
+    none = F.expr("cast(null as struct<i: int, c: string, score: double>)")
+    one = text.select(*keys, "characters", other.alias("other")).select(*keys, "characters", "other", F.explode("other").alias("a"))
+    # with itself alone, or with a second one at a later place
+    both = one.select(*keys, "characters", "a", F.explode(F.concat(F.array(none), F.filter("other", lambda x: x.i > F.col("a.i")))).alias("b"))
+    changed = F.array_join(F.transform("characters", lambda c, i: F.when(i == F.col("a.i"), F.col("a.c")).when(i == F.col("b.i"), F.col("b.c")).otherwise(c)), "")
+    rows = both.select(*keys, changed.alias("text"), (F.col("a.score") * F.coalesce(F.col("b.score"), F.lit(1.0))).alias("score"))
+    w = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 9)), "text")
     own = text.select(*keys, F.array_join("characters", "").alias("text"), F.lit(1.0).alias("score"), F.lit(0).alias("rank"))
     return own.unionByName(rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most))
 
