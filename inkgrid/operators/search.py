@@ -122,6 +122,12 @@ class Sheet:
     def search_connected(self, segment_id: str, tolerance: float = 0.6) -> DataFrame:
         return self._partners(spatial.touching(self._around(segment_id), ["page"], tolerance), segment_id)
 
+    def search_leaders(self, leaders: DataFrame) -> DataFrame:
+        """All traced leaders: leader, text, page, root and tip, with the box around both ends."""
+        side = lambda f, axis: f(F.col(f"root.{axis}"), F.col(f"tip.{axis}"))
+        boxed = leaders.withColumns({"x0": side(F.least, "x"), "y0": side(F.least, "y"), "x1": side(F.greatest, "x"), "y1": side(F.greatest, "y")})
+        return hits(boxed, "leader", "leader", F.col("text"))
+
     def search_dimensions(self) -> DataFrame:
         words = self.texts.withColumn("word", F.explode(F.split("text", r"\s+"))).withColumn("d", tokens.dimension(F.col("word"))).where("d is not null")
         return hits(words, "dimension", "text_id", F.concat_ws(" ", "d.rule", F.col("d.mm").cast("string")))
@@ -139,3 +145,9 @@ def is_dashed(declaration: Column) -> Column:
     """Whether a dash declaration such as [3 2] 0 has a positive length."""
     inside = F.regexp_extract(declaration, r"\[([^\]]*)\]", 1)
     return F.coalesce(F.exists(F.regexp_extract_all(inside, F.lit(r"([0-9]*\.?[0-9]+)"), F.lit(1)), lambda x: x.cast("double") > 0), F.lit(False))
+
+
+def transformed(objects: DataFrame) -> DataFrame:
+    """Objects with a rotation, or with a matrix (a, b, c, d) other than the page's."""
+    identity = F.array(*map(F.lit, (1.0, 0.0, 0.0, 1.0)))
+    return objects.where((F.coalesce("rotation", F.lit(0.0)) != 0) | (F.coalesce("matrix", identity) != identity))

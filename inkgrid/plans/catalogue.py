@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from inkgrid.plans import geometry, measures, relational, reports, sheet, text  # noqa: E402, F401  these register their queries
+from inkgrid.plans import geometry, measures, relational, reports, sheet, text, variants  # noqa: E402, F401  these register their queries
