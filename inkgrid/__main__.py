@@ -1,9 +1,12 @@
-"""python -m inkgrid analyse PATH OUT, or search PATH [--text T] [--near X,Y,R] [--limit N], or inspect PATH."""
+"""python -m inkgrid analyse PATH OUT [--order normal|reversed|shuffled] [--why ID], or search PATH [--text T] [--near PAGE,X,Y,R] [--geometry LENGTH,ANGLE] [--limit N],
+or inspect PATH [--region PAGE,X0,Y0,X1,Y1]. analyse ends with 2 where nothing could be measured."""
 
 from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import functions as F
+
 from inkgrid.operators import search
 from inkgrid.plans import takeoff
 from inkgrid.session import local_session
@@ -17,6 +20,10 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("out", nargs="?")
     parser.add_argument("--text")
     parser.add_argument("--near", help="page,x,y,radius")
+    parser.add_argument("--geometry", help="least length,angle")
+    parser.add_argument("--region", help="page,x0,y0,x1,y1")
+    parser.add_argument("--order", choices=("normal", "reversed", "shuffled"), default="normal", help="the order in which objects are read; results don't depend on it")
+    parser.add_argument("--why", help="an id whose evidence is shown")
     parser.add_argument("--limit", type=int, default=40)
     args = parser.parse_args(argv)
     spark = local_session(app="inkgrid-cli")
@@ -24,17 +31,24 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "analyse":
         if args.out is None:
             parser.error("analyse needs a folder to write to")
-        stages = takeoff.analyse(tables["objects"], tables["spans"], tables["pages"])
+        sort = {"normal": [], "reversed": [F.desc("object_id")], "shuffled": [F.xxhash64("object_id", F.lit(7))]}[args.order]
+        stages = takeoff.analyse(tables["objects"].orderBy(*sort) if sort else tables["objects"], tables["spans"], tables["pages"])
         sinks.quantities_csv(stages["quantities"], f"{args.out}/quantities")
         sinks.dump(stages, f"{args.out}/stages")
         size = tables["pages"].first()
         sinks.svg(takeoff.shapes(stages), f"{args.out}/svg", size.width, size.height)
         takeoff.census(stages).show(truncate=False)
-        return 0
+        if args.why:
+            takeoff.why(stages, args.why).show(200, truncate=False)
+        return 0 if stages["quantities"].where("horizontal_m is not null").limit(1).count() else 2
     items = takeoff.texts(tables["spans"]).withColumnRenamed("id", "text_id")
     sheet = search.Sheet.of_objects(tables["objects"], items)
     if args.command == "inspect":
-        sheet.inventory().show(200, truncate=False)
+        if args.region:
+            page, *box = map(float, args.region.split(","))
+            sheet.search_region(int(page), tuple(box)).show(args.limit, truncate=False)
+        else:
+            sheet.inventory().show(200, truncate=False)
         return 0
     found = []
     if args.text:
@@ -42,6 +56,9 @@ def main(argv: list[str] | None = None) -> int:
     if args.near:
         page, x, y, radius = map(float, args.near.split(","))
         found.append(sheet.search_near_point(int(page), x, y, radius))
+    if args.geometry:
+        length, angle = map(float, args.geometry.split(","))
+        found.append(sheet.search_geometry(min_length=length, angle=angle))
     search.union(*(found or [sheet.search_objects()]), limit=args.limit).show(args.limit, truncate=False)
     return 0
 

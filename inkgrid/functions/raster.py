@@ -36,6 +36,45 @@ def rasterise(polylines: list[list[tuple[float, float]]], side: int = SIDE, pad:
     return mask
 
 
+def rasterise_mask(mask: np.ndarray, side: int = SIDE, pad: int = PAD) -> tuple[np.ndarray, float]:
+    """A bitmap's ink cropped, scaled to the standard mask (a cell is set where any ink falls in it) and centred; and its aspect."""
+    out = np.zeros((side, side), bool)
+    ys, xs = np.nonzero(mask)
+    if not len(xs):
+        return out, 1.0
+    y, x = ys - ys.min(), xs - xs.min()
+    h, w = int(y.max()) + 1, int(x.max()) + 1
+    inner = side - 2 * pad
+    nh, nw = (max(1, round(n * inner / max(w, h))) for n in (h, w))
+    top, left = pad + (inner - nh) // 2, pad + (inner - nw) // 2
+    small = np.zeros((nh, nw), bool)
+    if nh >= h:  # every cell of the larger mask takes the pixel it lies in
+        grid = np.zeros((h, w), bool)
+        grid[y, x] = True
+        small = grid[np.ix_(np.arange(nh) * h // nh, np.arange(nw) * w // nw)]
+    else:
+        small[y * nh // h, x * nw // w] = True
+    out[top : top + nh, left : left + nw] = small
+    return out, w / h
+
+
+def rasterise_in(polylines: list[list[tuple[float, float]]], box: tuple[float, float, float, float], side: int = 32) -> np.ndarray:
+    """A mask of polylines within a box, a pixel free around it: the pixels of each edge by integer steps along its longer axis."""
+    mask = np.zeros((side, side), bool)
+    w, h = max(box[2] - box[0], 1e-6), max(box[3] - box[1], 1e-6)
+    scale = (side - 3) / max(w, h)
+    shift = np.array([(side - w * scale) / 2, (side - h * scale) / 2])
+    for line in polylines:
+        cells = np.rint((np.array(line, float) - box[:2]) * scale + shift).astype(int)
+        for a, b in pairwise(cells):
+            n = int(np.abs(b - a).max())
+            steps = np.arange(n + 1)[:, None]
+            dots = a + np.floor((2 * steps * (b - a) + n) / (2 * n)).astype(int) if n else a[None, :]
+            inside = ((dots >= 0) & (dots < side)).all(axis=1)
+            mask[dots[inside, 1], dots[inside, 0]] = True
+    return mask
+
+
 def neighbours(mask: np.ndarray) -> np.ndarray:
     """The eight neighbours of every pixel, clockwise from above."""
     padded = np.pad(mask, 1)

@@ -7,6 +7,7 @@ once without a distinct. Work grows with the boxes and the pairs that share a ce
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from math import radians, sin
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from inkgrid.functions import geo
 from inkgrid.functions.geo import Box, Segment
+from inkgrid.session import materialise
 
 CELL = 60.0
 
@@ -137,6 +139,32 @@ def nearest(probes: DataFrame, df: DataFrame, keys: list[str], k: int, radius: f
     return both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def k_nearest(probes: DataFrame, df: DataFrame, keys: list[str], k: int, radius: float = CELL, probe: str = "id", id_: str = "id", others: bool = False) -> DataFrame:
+    """The k boxes nearest to each probe's box however far off (all, where a key has fewer), by distance, ties by id; others leaves out a probe's own id.
+
+    Probes that found fewer than k look again in twice the radius, until it spans the sheet; each round is written before the next.
+    """
+    extent = probes.select("x0", "y0", "x1", "y1").unionByName(df.select("x0", "y0", "x1", "y1")).agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).first()
+    span = ((extent[2] - extent[0]) ** 2 + (extent[3] - extent[1]) ** 2) ** 0.5 if extent[0] is not None else 0.0
+    left, found = probes, []
+    while True:
+        both = within(left, df, keys, radius, max(CELL, radius))
+        if others:
+            both = both.where(F.col(f"l_{probe}") != F.col(f"r_{id_}"))
+        order = Window.partitionBy(f"l_{probe}").orderBy("gap", f"r_{id_}")
+        best = materialise(both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k), "nearest")
+        if radius >= span:
+            found.append(best)
+            break
+        full = materialise(best.where(F.col("place") == k).select(F.col(f"l_{probe}").alias(probe)), "nearest")
+        found.append(best.join(full.withColumnRenamed(probe, f"l_{probe}"), f"l_{probe}", "left_semi"))
+        left = materialise(left.join(full, probe, "left_anti"), "nearest")
+        if left.isEmpty():
+            break
+        radius *= 2
+    return reduce(DataFrame.unionByName, found)
+
+
 def containment(outer: DataFrame, inner: DataFrame, keys: list[str], cell: float = CELL) -> DataFrame:
     """Pairs where the left box contains the right one."""
     return grid_join(outer, inner, keys, 0.0, cell, on=Box.of("l_").contains(Box.of("r_")))

@@ -96,14 +96,12 @@ def near_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {S}, gaps AS (SELECT a.id AS probe, b.id, (greatest(b.ax - a.bx, 0, a.ax - b.bx))**2 + (greatest(b.ay - a.by_, 0, a.ay - b.by_))**2 AS d2
   FROM strokes a JOIN strokes b ON a.page = b.page AND a.id <> b.id WHERE a.id % 20 = 0)
-  SELECT probe, id, place FROM (SELECT probe, id, d2, row_number() OVER (PARTITION BY probe ORDER BY d2, id) AS place FROM gaps WHERE d2 <= 1600) WHERE place <= 3""")
+  SELECT probe, id, place FROM (SELECT probe, id, d2, row_number() OVER (PARTITION BY probe ORDER BY d2, id) AS place FROM gaps) WHERE place <= 3""")
 def k_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three strokes nearest to every twentieth one (a stated set of probes), within 40."""
+    """The three strokes nearest to every twentieth one (a stated set of probes), however far off."""
     s = strokes(spark, sf_dir)
-    near = spatial.within(s.where("id % 20 = 0"), s, ["page"], 40.0).where("l_id <> r_id")
-    square = F.round(F.col("gap") * F.col("gap")).cast("long")
-    order = Window.partitionBy("l_id").orderBy(square, "r_id")
-    return near.withColumn("place", F.row_number().over(order)).where("place <= 3").select(F.col("l_id").alias("probe"), F.col("r_id").alias("id"), F.col("place"))
+    near = spatial.k_nearest(s.where("id % 20 = 0"), s, ["page"], 3, 8.0, others=True)
+    return near.select(F.col("l_id").alias("probe"), F.col("r_id").alias("id"), "place")
 
 
 @query(f"WITH {S} SELECT id, page, len AS length FROM strokes WHERE len >= 60 AND ax = bx AND pen = '1-URGENT'")

@@ -6,12 +6,14 @@ them; names spread along touching runs of a like width; lengths become metres wh
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgrid.functions import canon, geo, tokens
 from inkgrid.functions.geo import Segment
-from inkgrid.operators import aggregates, decisions, graph, layout, pipes, spatial
+from inkgrid.operators import aggregates, decisions, evidence, graph, layout, pipes, spatial
 from inkgrid.operators.islands import lowest_mode
 from inkgrid.session import materialise
 
@@ -98,7 +100,7 @@ def analyse(objects: DataFrame, spans: DataFrame, pages: DataFrame) -> dict[str,
     nominal = ready.select(F.col("run").alias("pipe"), "nominal", *SHEET)
     physical = materialise(physical.join(nominal, "pipe"), "pipes")
     quantities = aggregates.quantities(physical.where("designation is not null"))
-    return {"texts": items, "leaders": leaders, "candidates": candidates, "nodes": nodes, "runs": runs, "attachments": attached, "pipes": physical, "quantities": quantities}
+    return {"texts": items, "leaders": leaders, "candidates": candidates, "edges": cut, "nodes": nodes, "runs": runs, "attachments": attached, "pipes": physical, "quantities": quantities}
 
 
 def census(stages: dict[str, DataFrame]) -> DataFrame:
@@ -116,3 +118,19 @@ def shapes(stages: dict[str, DataFrame]) -> DataFrame:
     pts = F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))
     w = Window.partitionBy(*SHEET).orderBy("candidate_id")
     return c.select(*SHEET, F.coalesce("layer", F.lit("-")).alias("layer"), F.lit("HIGH_CONFIDENCE").alias("state"), pts.alias("pts"), F.concat(F.lit("line "), F.row_number().over(w)).alias("label"))
+
+
+def why(stages: dict[str, DataFrame], id_: str, depth: int = 6) -> DataFrame:
+    """Every step back from a pipe, run or leader to the runs, candidates, strokes, leaders and texts that it was made of."""
+    c = lambda df, child, parent, relation: evidence.link(df.where(F.col(parent).isNotNull()), child, parent, relation)
+    runs = stages["runs"].select("run", F.explode("edges").alias("edge"))
+    attached = stages["attachments"].where("run is not null").select("run", "leader", "text")
+    edges = [
+        c(stages["pipes"].select("pipe", F.explode("runs").alias("run")), "pipe", "run", "made_of_run"), c(runs, "run", "edge", "made_of_edge"), c(attached, "run", "leader", "named_by_leader"), c(attached, "leader", "text", "begins_at_text"),
+        c(stages["edges"].select("edge", F.explode("sources").alias("source")), "edge", "source", "drawn_by_stroke"),
+    ]
+    every = materialise(reduce(DataFrame.unionByName, edges), "evidence")
+    kinds = every.select(F.col("child").alias("id"), F.regexp_extract("relation", "^([a-z]+)_", 1).alias("kind"), F.lit("").alias("label")).limit(0)
+    nothing = kinds.select("id", F.col("label").alias("reason"))
+    start = every.select(F.lit(id_).alias("id")).limit(1)
+    return evidence.why(kinds, every, nothing, start, depth).select("start", "id", "parent", "relation", "depth")

@@ -10,9 +10,12 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import atan2, degrees, dist, hypot
 
 #: Chord tolerance and depth of curve bisection, and the depth of nested forms.
 TOLERANCE, DEPTH, FORMS = 0.05, 6, 8
+#: The least and most steps of a cubic that is cut at equal steps.
+LEAST_STEPS, MOST_STEPS = 4, 24
 Point = tuple[float, float]
 Matrix = tuple[float, float, float, float, float, float]
 TOKEN = re.compile(rb"""\s*(?:%[^\r\n]*\s*)*(<<|>>|\[|\]|/[^\s()<>\[\]{}/%]*|\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|[+-]?(?:\d+\.?\d*|\.\d+)|[^\s()<>\[\]{}/%]+|\()""", re.S)
@@ -141,6 +144,9 @@ class Span:
     size: float
     rotation: float
     font: str
+    advance: float = 0.0
+    #: Each character with its origin and advance.
+    chars: list[tuple[str, float, float, float]] = field(default_factory=list)
 
 
 @dataclass
@@ -152,10 +158,15 @@ class Page:
     paths: list[Path] = field(default_factory=list)
     spans: list[Span] = field(default_factory=list)
     annotations: list[dict] = field(default_factory=list)
+    fonts: list[dict] = field(default_factory=list)
+    box: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)
 
 
 class Document:
-    def __init__(self, data: bytes) -> None:
+    """A file's objects. flatten is how cubics become chords: adaptive, or steps for a number that follows the control polygon."""
+
+    def __init__(self, data: bytes, flatten: str = "adaptive") -> None:
+        self.chords = {"adaptive": chords, "steps": stepped}[flatten]
         if not data[:1024].lstrip().startswith(b"%PDF-"):
             raise ValueError("not a PDF")
         self.objects: dict[int, object] = {}
@@ -205,9 +216,21 @@ class Document:
                 yield self._page(number, node, own)
                 number += 1
 
+    def _fonts(self, resources: dict) -> Iterator[dict]:
+        """The fonts of a page's resources: name there, base font, subtype, encoding, and the format of an embedded program."""
+        for name, ref in sorted((self.get(resources.get("Font")) or {}).items()):
+            font = self.get(ref) or {}
+            inner = self.get((self.get(font.get("DescendantFonts")) or [None])[0]) or font
+            descriptor = self.get(inner.get("FontDescriptor")) or {}
+            program = next((k for k in ("FontFile", "FontFile2", "FontFile3") if k in descriptor), None)
+            stream = self.get(descriptor.get(program)) if program else None
+            encoding = self.get(font.get("Encoding"))
+            yield {"name": str(name), "base": str(font.get("BaseFont", "")), "subtype": str(font.get("Subtype", "")), "encoding": str(encoding) if isinstance(encoding, str) else None, "program": program, "data": stream.data() if isinstance(stream, Stream) else None}
+
     def _page(self, number: int, node: dict, own: dict) -> Page:
         x0, y0, x1, y1 = (float(self.get(v)) for v in self.get(own.get("CropBox") or own.get("MediaBox") or [0, 0, 612, 792]))
-        page = Page(number, x1 - x0, y1 - y0, int(own.get("Rotate") or 0))
+        page = Page(number, x1 - x0, y1 - y0, int(own.get("Rotate") or 0), box=(x0, y0, x1, y1))
+        page.fonts = list(self._fonts(self.get(own.get("Resources")) or {}))
         contents = self.get(node.get("Contents")) or []
         parts = contents if isinstance(contents, list) else [contents]
         data = b"\n".join(self.get(p).data() for p in parts if isinstance(self.get(p), Stream))
@@ -220,6 +243,18 @@ class Document:
         return page
 
 
+def stepped(p0: Point, p1: Point, p2: Point, p3: Point) -> list[Point]:
+    """The points after p0 of a cubic at equal steps of its parameter, half as many as its control polygon has points of length, LEAST_STEPS to MOST_STEPS."""
+    hull = dist(p0, p1) + dist(p1, p2) + dist(p2, p3)
+    n = min(MOST_STEPS, max(LEAST_STEPS, round(hull / 2)))
+
+    def at(t: float) -> Point:
+        weights = (1 - t) ** 3, 3 * t * (1 - t) ** 2, 3 * t * t * (1 - t), t**3
+        return tuple(sum(w * p[axis] for w, p in zip(weights, (p0, p1, p2, p3), strict=True)) for axis in (0, 1))
+
+    return [at(i / n) for i in range(1, n + 1)]
+
+
 def multiply(a: Matrix, b: Matrix) -> Matrix:
     """First a, then b."""
     return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
@@ -273,11 +308,13 @@ class Interpreter:
         self.document, self.page, self.state = document, page, State(ctm)
         self.stack: list[State] = []
         self.layers: list[str | None] = []
+        self.resources: dict = {}
         self.subpaths: list[tuple[list[Point], bool]] = []
         self.text = self.line = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
     def run(self, data: bytes, resources: dict, depth: int) -> None:
         parser, operands, get = Parser(data), [], self.document.get
+        outer, self.resources = self.resources, resources
         while (t := parser.token()) is not None:
             value = parser.value(t)
             if not (isinstance(value, bytes) and not t[:1] in (b"(", b"<")):
@@ -304,6 +341,7 @@ class Interpreter:
             else:
                 self._operate(op, operands)
             operands = []
+        self.resources = outer
 
     def _layer_name(self, operands: list, resources: dict) -> str | None:
         get = self.document.get
@@ -340,7 +378,7 @@ class Interpreter:
         elif op in ("c", "v", "y") and self.subpaths:
             here = self.subpaths[-1][0][-1]
             p1, p2, p3 = (at(0), at(2), at(4)) if op == "c" else (here, at(0), at(2)) if op == "v" else (at(0), at(2), at(2))
-            self._to(chords(here, p1, p2, p3))
+            self._to(self.document.chords(here, p1, p2, p3))
         elif op == "re":
             x, y, w, h = map(float, args)
             self.subpaths.append(([apply(s.ctm, *p) for p in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))], True))
@@ -385,14 +423,36 @@ class Interpreter:
             self.page.paths.append(Path(points, closed or op in ("s", "b", "b*"), stroke, fill, s.width, s.dashes, self._layer()))
         self.subpaths = []
 
-    def _show(self, parts: list) -> None:
-        from math import atan2, degrees, hypot
+    def _widths(self, raw: bytes) -> list[float]:
+        """The advance of each byte in ems: what the font states, else half an em."""
+        get = self.document.get
+        font = get((get(self.resources.get("Font")) or {}).get(self.state.font)) or {}
+        first, stated = get(font.get("FirstChar")), get(font.get("Widths")) or []
+        missing = get((get(font.get("FontDescriptor")) or {}).get("MissingWidth"))
+        other = missing / 1000 if isinstance(missing, (int, float)) else 0.5
+        out = []
+        for code in raw:
+            at = code - first if isinstance(first, int) else -1
+            width = get(stated[at]) if 0 <= at < len(stated) else None
+            out.append(width / 1000 if isinstance(width, (int, float)) else other)
+        return out
 
-        s = self.state
+    def _show(self, parts: list) -> None:
+        """Shows strings; numbers between them move back by thousandths of an em."""
+        s, text, at, chars = self.state, "", 0.0, []
         m = multiply(self.text, s.ctm)
-        text = "".join(p.decode("cp1252", "replace") for p in parts if isinstance(p, bytes))
+        for p in parts:
+            if isinstance(p, bytes):
+                for code, width in zip(p, self._widths(p), strict=True):
+                    char = bytes([code]).decode("cp1252", "replace")
+                    chars.append((char, at * s.size, width * s.size))
+                    at += width
+                    text += char
+            elif isinstance(p, (int, float)):
+                at -= p / 1000
         size = s.size * hypot(m[2], m[3])
         if text.strip():
-            self.page.spans.append(Span(text, m[4], m[5], size, round(degrees(atan2(-m[1], m[0])) % 360, 1), s.font))
-        # widths of glyphs are not read: half an em each
-        self.text = multiply((1, 0, 0, 1, 0.5 * s.size * len(text), 0), self.text)
+            along = hypot(m[0], m[1])
+            placed = [(c, *apply(m, x, 0.0), w * along) for c, x, w in chars]
+            self.page.spans.append(Span(text, m[4], m[5], size, round(degrees(atan2(-m[1], m[0])) % 360, 1), s.font, at * s.size * along, placed))
+        self.text = multiply((1, 0, 0, 1, s.size * at, 0), self.text)

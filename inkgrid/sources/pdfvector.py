@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -20,9 +21,11 @@ MARKERS = ("facit", "answer", "truth", "ground_truth", "groundtruth", "marked",
 POINTS = "array<struct<x: double, y: double>>"
 BOX = "x0 double, y0 double, x1 double, y1 double"
 SCHEMAS = {
-    "pages": "doc_id string, file string, page int, width double, height double, rotation int, n_paths int, n_spans int, n_annotations int",
+    "pages": "doc_id string, file string, page int, width double, height double, rotation int, crop_x0 double, crop_y0 double, crop_x1 double, crop_y1 double, sha1 string, n_paths int, n_spans int, n_annotations int",
     "objects": f"object_id string, doc_id string, page int, kind string, pts {POINTS}, closed boolean, stroke array<double>, fill array<double>, stroke_width double, dashes string, layer string, {BOX}",
     "spans": f"span_id string, doc_id string, page int, text string, font string, size double, rotation double, {BOX}",
+    "glyphs": f"glyph_id string, span_id string, doc_id string, page int, character string, confidence double, font string, size double, {BOX}",
+    "fonts": "doc_id string, page int, name string, base_font string, subtype string, encoding string, embedded boolean, program string, data binary",
     "annotations": f"doc_id string, page int, subtype string, pts {POINTS}, {BOX}",
 }
 
@@ -46,7 +49,7 @@ class File(InputPartition):
 
 
 class PdfSource(DataSource):
-    """Options: path (a file or folder), table (pages, objects, spans, annotations), answers (true reads files that are not blind)."""
+    """Options: path (a file or folder), table (pages, objects, spans, glyphs, annotations, fonts), flatten (adaptive or steps), answers (true reads files that are not blind)."""
 
     @classmethod
     def name(cls) -> str:
@@ -62,6 +65,7 @@ class PdfSource(DataSource):
 class PdfReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.table = options["path"], options.get("table", "objects")
+        self.flatten = options.get("flatten", "adaptive")
         self.answers = str(options.get("answers", "false")).lower() == "true"
 
     def _system(self) -> tuple[fs.FileSystem, str]:
@@ -80,11 +84,12 @@ class PdfReader(DataSourceReader):
         with system.open_input_stream(partition.path) as f:
             data = f.read()
         doc = hashlib.sha256(data).hexdigest()
-        for page in Document(data).pages():
+        self.sha1 = hashlib.sha1(data).hexdigest()
+        for page in Document(data, self.flatten).pages():
             yield from getattr(self, f"_{self.table}")(doc, partition.path, page)
 
     def _pages(self, doc: str, path: str, page) -> Iterator[tuple]:
-        yield doc, path, page.number, page.width, page.height, page.rotation, len(page.paths), len(page.spans), len(page.annotations)
+        yield doc, path, page.number, page.width, page.height, page.rotation, *page.box, self.sha1, len(page.paths), len(page.spans), len(page.annotations)
 
     def _objects(self, doc: str, path: str, page) -> Iterator[tuple]:
         seen: dict[str, int] = {}
@@ -98,8 +103,18 @@ class PdfReader(DataSourceReader):
 
     def _spans(self, doc: str, path: str, page) -> Iterator[tuple]:
         for i, s in enumerate(page.spans):
-            wide = 0.5 * s.size * len(s.text)
-            yield f"span_{page.number}_{i}", doc, page.number, s.text, s.font, s.size, s.rotation, _grid(s.x), _grid(s.y - s.size), _grid(s.x + wide), _grid(s.y)
+            yield f"span_{page.number}_{i}", doc, page.number, s.text, s.font, s.size, s.rotation, _grid(s.x), _grid(s.y - s.size), _grid(s.x + s.advance), _grid(s.y)
+
+    def _glyphs(self, doc: str, path: str, page) -> Iterator[tuple]:
+        """Characters of the text layer: what they are is certain."""
+        for i, s in enumerate(page.spans):
+            for place, (char, x, y, wide) in enumerate(s.chars):
+                if char.strip():
+                    yield f"glyph_{page.number}_{i}_{place}", f"span_{page.number}_{i}", doc, page.number, char, 1.0, s.font, s.size, _grid(x), _grid(y - s.size), _grid(x + wide), _grid(y)
+
+    def _fonts(self, doc: str, path: str, page) -> Iterator[tuple]:
+        for f in page.fonts:
+            yield doc, page.number, f["name"], f["base"], f["subtype"], f["encoding"], f["program"] is not None, f["program"], f["data"]
 
     def _annotations(self, doc: str, path: str, page) -> Iterator[tuple]:
         for a in page.annotations:
@@ -111,3 +126,9 @@ def read(spark: SparkSession, path: str, table: str = "objects", **options: str)
     ship(spark)
     spark.dataSource.register(PdfSource)
     return spark.read.format("pdfvector").options(table=table, **options).load(path)
+
+
+def font_programs(fonts: DataFrame) -> DataFrame:
+    """Each embedded font program once, by name without its subset prefix and digest, with how many pages use it."""
+    named = fonts.where("data is not null").withColumns({"font": F.regexp_replace("base_font", "^[A-Z]{6}[+]", ""), "digest": F.sha2("data", 256)})
+    return named.groupBy("font", "program", "digest").agg(F.first("data").alias("data"), F.count_distinct("doc_id", "page").alias("pages"))

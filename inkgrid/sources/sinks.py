@@ -106,32 +106,49 @@ def changes(rows: DataFrame, path: str) -> DataFrame:
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """Ground truth: a JSON object with quantities or a list of them, or CSV with a header; comma decimals are read.
+    """Ground truth: a JSON object with quantities or a list of them, or CSV or a spreadsheet with a header; comma decimals are read.
 
-    Columns are matched by words in their names, as reviewers name them.
+    Columns are matched by words in their names, as reviewers name them. With columns for a count and a height it is a markup
+    export, a row for each annotation: lengths are added up by designation, and rows whose designation ends in a word for
+    vertical give count times height to the designation without it; rows with neither length nor count are no quantities.
     """
-    from inkgrid.functions.tokens import number
+    from inkgrid.functions.tokens import number, trailing_digits
+    from inkgrid.sources import xlsx
 
-    #: Words that name a column.
+    #: Words that name a column, those of markup exports, and the endings that mark a vertical part.
     hints = {
         "designation": ("designation", "beteckning", "subject", "kod", "code", "benamning"), "diameter": ("diameter", "dimension", "dn", "dim"),
         "horizontal_m": ("horizontal", "horisontell", "liggande", "langd", "längd"), "vertical_m": ("vertical", "vertikal", "stam", "stigare"), "total_m": ("total", "summa", "totalt", "sum"),
     }
+    counts, heights = ("antal",), ("hojd", "höjd", "height")
+    vertical = r"(?i)\s*(vertikal|vertical|stam|riser)\s*$"
     if path.endswith(".json"):
         raw = spark.read.option("multiLine", True).json(path)
         rows = raw.select(F.explode("quantities").alias("q")).select("q.*") if "quantities" in raw.columns else raw
     elif path.endswith(".csv"):
         rows = spark.read.option("header", True).csv(path)
+    elif path.endswith((".xlsx", ".xlsm")):
+        rows = xlsx.read(spark, path)
     else:
-        raise ValueError("truth is read from .json and .csv")
+        raise ValueError("truth is read from .json, .csv, .xlsx and .xlsm")
+    of = lambda words, used=(): next((c for c in rows.columns if c not in used and any(w in c.strip().lower() for w in words)), None)
     named, used = {}, set()
     for target, words in hints.items():
-        column = next((c for c in rows.columns if c not in used and any(w in c.lower() for w in words)), None)
-        if column is not None:
+        if (column := of(words, used)) is not None:
             named[target] = F.col(f"`{column}`")
             used.add(column)
-    text = named.get("designation", F.lit(None)).cast("string")
-    return rows.select(text.alias("designation"), *(number(named[t].cast("string")).alias(t) if t in named else F.lit(None).cast("double").alias(t) for t in list(hints)[1:]))
+    text = F.trim(named.get("designation", F.lit(None)).cast("string"))
+    value = lambda c: number(c.cast("string"))
+    count, height = of(counts), of(heights)
+    if count is None or height is None:
+        out = rows.select(text.alias("designation"), *(value(named[t]).alias(t) if t in named else F.lit(None).cast("double").alias(t) for t in list(hints)[1:]))
+        return out.where("designation <> ''")
+    length = value(named["horizontal_m"]) if "horizontal_m" in named else F.lit(None).cast("double")
+    marks = rows.select(text.alias("subject"), length.alias("length"), value(F.col(f"`{count}`")).alias("count"), value(F.col(f"`{height}`")).alias("height"))
+    marks = marks.where("subject <> '' and (length is not null or count <> 0)").withColumn("upright", F.col("subject").rlike(vertical))
+    flat, up = F.when(~F.col("upright"), F.col("length")), F.when(F.col("upright"), F.coalesce("count", F.lit(0.0)) * F.coalesce("height", F.lit(0.0)))
+    summed = marks.groupBy(F.trim(F.regexp_replace("subject", vertical, "")).alias("designation")).agg(F.round(F.coalesce(F.sum(flat), F.lit(0.0)), 4).alias("horizontal_m"), F.round(F.coalesce(F.sum(up), F.lit(0.0)), 4).alias("vertical_m"))
+    return summed.select("designation", trailing_digits(F.col("designation")).alias("diameter"), "horizontal_m", "vertical_m", F.round(F.col("horizontal_m") + F.col("vertical_m"), 4).alias("total_m"))
 
 
 def same_whatever_the_order(df: DataFrame, query, seeds: tuple[int, ...] = (1, 2)) -> bool:
