@@ -27,7 +27,8 @@ from inkgrid.llm.bitmap import bitmap, hit
 from inkgrid.llm.text import row_key
 from inkgrid.session import map_arrow, materialise
 
-MIN_UNIT, MIN_RUN = 4, 30
+#: Words of the least unit, and of the least run: half a passage of 50 words, whose ends may lie inside sentences of their own.
+MIN_UNIT, MIN_RUN = 4, 25
 UNIT = re.compile(r"[^\n.!?]+")
 LAST = 2**63 - 1
 NAMES = ("key", "rank", "at", "start", "end", "words", "d1", "d2", "again")
