@@ -1,21 +1,40 @@
 """python -m inkgrid analyse PATH OUT [--order normal|reversed|shuffled] [--why ID], or search PATH [--text T] [--near PAGE,X,Y,R] [--geometry LENGTH,ANGLE] [--limit N],
-or inspect PATH [--region PAGE,X0,Y0,X1,Y1]. analyse ends with 2 where nothing could be measured."""
+or inspect PATH [--region PAGE,X0,Y0,X1,Y1]. analyse ends with 2 where nothing could be measured.
+work INBOX LOG runs the jobs submitted to a folder (Parquet files of job and content, the path of a drawing), one file at a time, and keeps their states.
+"""
 
 from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from inkgrid.operators import search
 from inkgrid.plans import takeoff
 from inkgrid.session import local_session
 from inkgrid.sources import pdfvector, sinks
+from inkgrid.streaming import jobs
+
+
+def drawn(batch: DataFrame, out: str) -> DataFrame:
+    """Analyses the drawing of each job of a file of jobs, which is a short list, and writes its quantities; a drawing that can't be read fails its own job."""
+    spark, states = batch.sparkSession, []
+    for row in batch.orderBy("job").collect():
+        try:
+            tables = [pdfvector.read(spark, row.content, t) for t in ("objects", "spans", "pages")]
+            takeoff.analyse(*tables)["quantities"].write.mode("overwrite").parquet(f"{out}/{row.job}")
+            states.append((row.job, "succeeded"))
+        except Exception as e:  # noqa: BLE001  the next job must run
+            print(f"{row.job}: {e}")
+            states.append((row.job, "failed"))
+    return spark.createDataFrame(states, "job string, state string")
 
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="inkgrid", description=__doc__)
-    parser.add_argument("command", choices=("analyse", "search", "inspect"))
+    parser.add_argument("command", choices=("analyse", "search", "inspect", "work"))
     parser.add_argument("path")
     parser.add_argument("out", nargs="?")
     parser.add_argument("--text")
@@ -27,6 +46,15 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--limit", type=int, default=40)
     args = parser.parse_args(argv)
     spark = local_session(app="inkgrid-cli")
+    if args.command == "work":
+        if args.out is None:
+            parser.error("work needs a folder for its log")
+        schema = StructType([StructField("job", StringType()), StructField("content", StringType())])
+        jobs.work(spark, args.path, schema, f"{args.out}/log", f"{args.out}/checkpoint", lambda batch: drawn(batch, f"{args.out}/results")).awaitTermination()
+        states = jobs.status(spark, f"{args.out}/log")
+        if states is not None:
+            states.show(200, truncate=False)
+        return 0
     tables = {t: pdfvector.read(spark, args.path, t) for t in ("objects", "spans", "pages")}
     if args.command == "analyse":
         if args.out is None:

@@ -130,3 +130,17 @@ def transformed_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first size by its JSON text, and by its value."""
     return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.min(canon.text_key("p_size")).alias("first_text"), F.min("p_size").alias("first_number"))
+
+
+@query("""WITH c AS (SELECT o_orderkey // 200 AS page, (o_orderkey // 25) % 8 AS row, o_orderkey % 25 AS col, o_orderkey AS id FROM orders WHERE o_orderstatus <> 'P'), n AS (SELECT page, row, min(col) AS a, max(col) AS b, count(DISTINCT col) AS n, list_sort(list(DISTINCT col)) AS x FROM c GROUP BY page, row),
+  g AS (SELECT *, list_transform(range(1, len(x)), lambda i: x[i + 1] - x[i]) AS gaps FROM n WHERE n >= 4), u AS (SELECT *, list_sort(gaps)[len(gaps) // 2 + 1] AS usual FROM g)
+  SELECT CAST(page * 8 + row AS BIGINT) AS bar, round(5.0::DOUBLE / (10 * (b - a)), 9) AS value, CAST(len(list_filter(gaps, lambda q: q = usual)) AS INTEGER) AS cells FROM u WHERE b - a >= 2 AND len(list_filter(gaps, lambda q: q = usual)) >= 3""")
+def bar_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scales of rows of upright strokes with a number at each end."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.expr("o_orderkey div 200").alias("page"), (F.expr("o_orderkey div 25") % 8).alias("row"), (k % 25).alias("col"))
+    x, y = F.col("col") * 10.0, F.col("row") * 100.0
+    bars = o.select("page", x.alias("ax"), y.alias("ay"), x.alias("bx"), (y + 5).alias("by"))
+    ends = o.groupBy("page", "row").agg(F.min("col").alias("a"), F.max("col").alias("b")).select("page", "row", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("at")), F.struct(F.lit(1).alias("side"), F.col("b").alias("at")))).alias("e"))
+    numbers = ends.select(((F.col("page") * 8 + F.col("row")) * 2 + F.col("e.side")).alias("id"), "page", (F.col("e.side") * 5.0).alias("value"), F.lit(4.0).alias("cap"), (F.col("e.at") * 10.0).alias("x0"), (F.col("row") * 100.0 - 6).alias("y0"), (F.col("e.at") * 10.0).alias("x1"), (F.col("row") * 100.0 - 2).alias("y1"))
+    return variants.bar_hypotheses(numbers, bars, ["page"]).select(F.expr("from div 2").alias("bar"), "value", "cells")

@@ -11,6 +11,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkgrid.operators.spatial import grid_join
 from inkgrid.session import map_arrow, materialise
 
 QUANTITY = ("designation", "diameter", "horizontal_m", "vertical_m", "total_m", "n_pipes", "state", "reasons", "confidence")
@@ -93,6 +94,16 @@ def _escaped(text: str) -> str:
     return str(text).replace("&", "&amp;").replace("<", "&lt;").replace('"', "&quot;")
 
 
+def crops(shapes: DataFrame, requests: DataFrame) -> DataFrame:
+    """shapes: doc_id, page, pts and more. requests: id, doc_id, page and a box. The shapes that reach into each box, moved to its corner, with
+    the request's id as page, so that svg() writes a picture of each."""
+    boxed = shapes.withColumns({"x0": F.array_min(F.transform("pts", lambda p: p.x)), "y0": F.array_min(F.transform("pts", lambda p: p.y)), "x1": F.array_max(F.transform("pts", lambda p: p.x)), "y1": F.array_max(F.transform("pts", lambda p: p.y))})
+    both = grid_join(requests.select("id", "doc_id", "page", "x0", "y0", "x1", "y1"), boxed, ["doc_id", "page"], cell=240.0)
+    moved = F.transform("r_pts", lambda p: F.struct((p.x - F.col("l_x0")).alias("x"), (p.y - F.col("l_y0")).alias("y")))
+    kept = [c for c in shapes.columns if c not in ("page", "pts")]
+    return both.select(F.col("l_id").alias("page"), *(F.col(f"r_{c}").alias(c) for c in kept), moved.alias("pts"))
+
+
 def freeze(rows: DataFrame, path: str) -> None:
     """Keeps a run's rows, to hold later runs against."""
     rows.write.mode("overwrite").parquet(path)
