@@ -43,3 +43,29 @@ def test_quality_edges(spark):
     kept = quality.keep_quality(docs, labels)
     assert kept.columns == docs.columns and [r.m for r in kept.collect()] == [3]
     assert quality.quality(docs.limit(0), labels).count() == 0 and quality.keep_quality(docs, labels.limit(0)).count() == 1
+
+
+def test_quality_of_long_texts(spark):
+    """Counts of very long texts, against plain ones."""
+    import random
+    import re
+    from collections import Counter
+
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(60_000)), "same words again " * 40_000, "\n".join(f"line {i % 900} #$ of many" for i in range(20_000)), "x" * 1_000_000]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    for r in quality.quality(docs, labels).collect():
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", texts[r.doc_id]) if w]
+        windows = Counter(zip(words, words[1:], words[2:]))
+        again = {i + k for i, w in enumerate(zip(words, words[1:], words[2:])) if windows[w] > 1 for k in range(3)}
+        lines = [x for x in texts[r.doc_id].split("\n") if x.strip()]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), sum(texts[r.doc_id].count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(again))
+
+
+def test_cutoffs_follow_labelled_documents_only(spark):
+    """The pipeline's quality stage keeps what quality() keeps, though it measures labelled documents alone for the cutoffs."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    want = {r.doc_id for r in quality.quality(docs, labels).where("kept").collect()}
+    assert {r.doc_id for r in quality.keep_quality(docs, labels).collect()} == want

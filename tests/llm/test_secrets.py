@@ -91,3 +91,14 @@ def test_nulls_empty_and_clashes(spark):
     out = S.scan(df).collect()
     assert [len(r.base) for r in out] == [0, 0, 0, 1] and out[3].base[0].start == 0 and [r.kind for r in out] == [5, 6, 6, 7]
     assert S.scan(df.limit(0)).count() == 0
+
+
+def test_very_long_texts():
+    """Work grows with the parts, not with their pairs."""
+    part = "user: someone1 wJalrXUtnFEMI7K7MDENGbPx https://db.example/x password=hunter2hunter2 deadbeefdeadbeef00 filler words "
+    text = part * 20_000
+    base = S.base_spans(text)
+    weak, links = S.linked(text, base)
+    assert len(base) == 40_000 and len(weak) == 60_000 and len(links) == 1 and [len(x) for x in links[0][2:]] == [20_000, 40_000, 20_000]
+    text = (part + "\n\n") * 20_000
+    assert len(S.linked(text, S.base_spans(text))[1]) == 20_000
