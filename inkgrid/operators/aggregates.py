@@ -64,7 +64,7 @@ def layer_roles(signatures: DataFrame, cap: float, keys: list[str]) -> DataFrame
         "REFERENCE_LINE": 0.4 * c("dashed") + 0.3 * c("long") + 0.3 * (1 - c("chain")) - 0.4 * c("closed") - 0.3 * c("text"),
     }
     ranked = F.reverse(F.array_sort(F.array(*(F.struct(s.alias("score"), F.lit(role).alias("role")) for role, s in scores.items()))))
-    share = c("n") / F.sum("n").over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))
+    share = c("n") / (F.sum("n").over(Window.partitionBy(*keys)) if keys else signatures.agg(F.sum("n")).scalar())
     best, second = F.get("ranked", F.lit(0)), F.get("ranked", F.lit(1))
     firm = (best.score >= LEAST_SCORE) & (best.score - second.score >= LEAST_MARGIN) & (c("share") <= MOST_SHARE)
     out = signatures.withColumns({"ranked": ranked, "share": share})
@@ -79,8 +79,7 @@ def object_role(text: Column, grid: Column, hatch: Column, title: Column, symbol
 def attested(attachments: DataFrame, key: str, hits: int = 3, share: float = 0.05) -> DataFrame:
     """Values of key (layers or pens) with at least `hits` attachments and that share of all."""
     counts = attachments.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("hits"))
-    every = F.sum("hits").over(Window.partitionBy(F.lit(0)))
-    return counts.withColumn("share", F.col("hits") / every).where((F.col("hits") >= hits) & (F.col("share") >= share))
+    return counts.withColumn("share", F.col("hits") / counts.agg(F.sum("hits")).scalar()).where((F.col("hits") >= hits) & (F.col("share") >= share))
 
 
 def cap_height(fragments: DataFrame, keys: list[str], height: str = "height", least: float = 1.2, step: float = 0.25) -> DataFrame:

@@ -169,3 +169,30 @@ def test_heartbeats(spark):
     rows = [("a", at), ("a", at - datetime.timedelta(minutes=5)), ("b", at - datetime.timedelta(minutes=3))]
     out = jobs.heartbeats(spark.createDataFrame(rows, "job string, ts timestamp"), "2024-01-01 12:00:30").collect()
     assert {r.job: r.late for r in out} == {"a": False, "b": True}
+
+
+def test_crops_move_shapes_to_their_box(spark):
+    at = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    shapes = spark.createDataFrame([("d", 0, "a", at((10, 10), (20, 10))), ("d", 0, "b", at((500, 500), (510, 500))), ("d", 1, "c", at((10, 10), (20, 10)))], "doc_id string, page int, label string, pts array<struct<x: double, y: double>>")
+    wanted = spark.createDataFrame([(7, "d", 0, 5.0, 5.0, 30.0, 30.0), (8, "d", 0, 0.0, 0.0, 600.0, 600.0)], "id int, doc_id string, page int, x0 double, y0 double, x1 double, y1 double")
+    got = {(r.page, r.label): [(p.x, p.y) for p in r.pts] for r in sinks.crops(shapes, wanted).collect()}
+    assert got == {(7, "a"): [(5.0, 5.0), (15.0, 5.0)], (8, "a"): [(10.0, 10.0), (20.0, 10.0)], (8, "b"): [(500.0, 500.0), (510.0, 500.0)]}
+
+
+def test_search_leaders(spark):
+    from inkgrid.operators.search import Sheet
+
+    point = "struct<x: double, y: double>"
+    leaders = spark.createDataFrame([("l1", "t1", 0, (1.0, 9.0), (4.0, 2.0))], f"leader string, text string, page int, root {point}, tip {point}")
+    segments = spark.createDataFrame([], "id string, page int, ax double, ay double, bx double, by double")
+    (hit,) = Sheet(segments, segments, segments).search_leaders(leaders).collect()
+    assert tuple(hit) == (0, "leader", "l1", 1.0, 2.0, 4.0, 9.0, "t1")
+
+
+def test_worker_analyses_drawings(spark, tmp_path):
+    from inkgrid.__main__ import drawn
+
+    (tmp_path / "plan.pdf").write_bytes(drawings.pdf([drawings.sheet()]))
+    batch = spark.createDataFrame([("good", f"{tmp_path}/plan.pdf"), ("bad", f"{tmp_path}/none.pdf")], "job string, content string")
+    assert {r.job: r.state for r in drawn(batch, f"{tmp_path}/out").collect()} == {"good": "succeeded", "bad": "failed"}
+    assert spark.read.parquet(f"{tmp_path}/out/good").count() == 3
