@@ -52,7 +52,7 @@ def test_readings(spark):
     schema = "text_id string, place int, character string, alternatives array<struct<character: string, score: double>>"
     g = spark.createDataFrame([("t", 0, "1", [("I", 0.9), ("1", 1.0)]), ("t", 1, ";", [(":", 0.8)]), ("t", 2, "5", []), ("t", 3, "0", [("O", 0.2)])], schema)
     out = L.alternative_readings(g, ["text_id"]).orderBy("rank").collect()
-    assert [r.text for r in out] == ["1;50", "I;50", "1:50"]
+    assert [r.text for r in out] == ["1;50", "I;50", "1:50", "I:50"]  # one character read otherwise, or two
     r = L.ratio_hypotheses(spark.createDataFrame([("s", "1:50", 0.0), ("s", "1:100", 0.5), ("s", "x", 0.0)], "sheet string, text string, cost double"), ["sheet"]).collect()
     assert {x.value: round(x.weight, 4) for x in r} == {50.0: 0.9, 100.0: round(0.55 * 2.718281828459045**-1, 4)}
 
