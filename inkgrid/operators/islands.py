@@ -23,22 +23,24 @@ def islands(df: DataFrame, keys: list[str], start: str, end: str, gap: Column, o
     return df.withColumn("_new", F.coalesce((F.col(start) - reach > gap).cast("int"), F.lit(0))).withColumn("island", F.sum("_new").over(w)).drop("_new")
 
 
-def words(chars: DataFrame, keys: list[str], height: str, factor: float = 2.2, share: float = 0.45) -> DataFrame:
-    """chars: start, end, char. Lines with spaces where a gap exceeds both factor times the line's upper median gap and a share of its height.
+def words(chars: DataFrame, keys: list[str], height: str, factor: float = 2.2, share: float = 0.45, spacing: str | None = None) -> DataFrame:
+    """chars: start, end, char. Lines with spaces where a gap exceeds both factor times the line's usual gap and a share of its height.
 
-    A line is one row of its characters in order.
+    The usual gap is that of the characters' font (column spacing) where it is known, else the upper median of the line's gaps, which
+    can't tell spaces where half of the gaps or more are spaces ("A | B"). A line is one row of its characters in order.
     """
-    lines = chars.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.coalesce("char", F.lit("\ufffd")).alias("char")))).alias("c"), F.max(height).alias("tall"))
+    known = F.max(spacing) if spacing else F.lit(None)
+    lines = chars.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.coalesce("char", F.lit("\ufffd")).alias("char")))).alias("c"), F.max(height).alias("tall"), known.cast("double").alias("known"))
     once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  value is computed once a line
     gaps = F.zip_with(F.slice("c", 2, F.size("c") - 1), F.slice("c", 1, F.size("c") - 1), lambda x, y: (x.start - y.end).cast("double"))
 
     def joined(line: Column) -> Column:
         usual = F.get(F.array_sort(line.gaps), F.floor(F.size(line.gaps) / 2).cast("int"))
-        limit = F.greatest(factor * F.coalesce(usual, F.lit(0.0)), share * line.tall)
+        limit = F.greatest(factor * F.coalesce(line.known, usual, F.lit(0.0)), share * line.tall)
         before = F.concat(F.array(F.lit(None).cast("double")), line.gaps)
         return once(F.struct(line.c.alias("c"), before.alias("before"), limit.alias("limit")), lambda z: F.array_join(F.zip_with(z.c, z.before, lambda x, g: F.concat(F.when(g > z.limit, " ").otherwise(""), x.char)), ""))
 
-    return lines.select(*keys, once(F.struct("c", "tall", gaps.alias("gaps")), joined).alias("text"))
+    return lines.select(*keys, once(F.struct("c", "tall", "known", gaps.alias("gaps")), joined).alias("text"))
 
 
 def regular(df: DataFrame, keys: list[str], at: str, least: int = 12, variation: float = 0.25) -> DataFrame:
