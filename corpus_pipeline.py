@@ -29,7 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
+    """One document of each group of near copies: SimHash links, verified, and the rest of the pairs of a Jaccard similarity of 0.8 or more over five-word shingles."""
     return near.drop_near_copies(docs)
 
 

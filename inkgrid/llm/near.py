@@ -1,7 +1,9 @@
-"""Near-duplicate documents by exact Jaccard similarity of their word shingles.
+"""Near-duplicate documents by SimHash fingerprints and exact Jaccard similarity of their word shingles.
 
 Two texts are near copies when their sets of SHINGLE words in a row (lower case, white space between words) have a
-Jaccard similarity of 4/5 or more. No such pair is missed: with every set in one fixed order of shingles (rarer ones
+Jaccard similarity of 4/5 or more. SimHash fingerprints of the shingles (repeats included) meet first, at the anchors of
+the covering code of `simhash`; the sets of those that are linked are verified. Near copies are often further apart than
+its bits, and what fingerprints have not connected is found exactly. No pair is missed: with every set in one fixed order of shingles (rarer ones
 first, by counts in BUCKETS), two near copies share a shingle among the first n - ceil(4/5 n) + 1 of each. Equal sets
 are one node. Of the sets that share such a shingle, all are compared with that of the least hash first, those not yet connected
 by that with that of the largest; after that only sets not connected yet meet in pairs, and of those only pairs that sizes and
@@ -22,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkgrid.llm import simhash
 from inkgrid.llm.bitmap import bitmap, hit
 from inkgrid.llm.text import row_key
 from inkgrid.operators.graph import components
@@ -31,8 +34,8 @@ SHINGLE, SEED = 5, 42
 BUCKETS, CHUNK, BYTES, PARTS = 16, 1 << 12, 6, 256
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles, of BYTES bytes each."""
+def hashed(text: str | None) -> np.ndarray:
+    """The 64-bit hashes of a text's shingles, in order."""
     tokens = (text or "").encode("utf-8", "replace").lower().split()
     if not tokens:
         return np.zeros(0, np.uint64)
@@ -42,7 +45,12 @@ def shingles(text: str | None) -> np.ndarray:
     k = min(SHINGLE, len(tokens))
     digest = xxhash.xxh64_intdigest
     spans = zip(begins[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
-    return np.unique(np.fromiter((digest(line[a:b], SEED) for a, b in spans), np.uint64, len(tokens) - k + 1) >> np.uint64(64 - 8 * BYTES))
+    return np.fromiter((digest(line[a:b], SEED) for a, b in spans), np.uint64, len(tokens) - k + 1)
+
+
+def kept_bytes(hashes: np.ndarray) -> np.ndarray:
+    """The sorted distinct hashes, of BYTES bytes each."""
+    return np.unique(hashes >> np.uint64(64 - 8 * BYTES))
 
 
 def packed(hashes: np.ndarray) -> bytes:
@@ -64,10 +72,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             some = batch.slice(at, 1024)
-            found = [shingles(t) for t in some.column("text").to_pylist()]
+            found, fps = [], []
+            for t in some.column("text").to_pylist():
+                h = hashed(t)
+                fps.append(simhash.of_hashes(h[i : i + simhash.CHUNK] for i in range(0, len(h), simhash.CHUNK)))
+                found.append(kept_bytes(h))
             raw = [packed(h) for h in found]
             ids = np.array([xxhash.xxh3_64_intdigest(r) for r in raw], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("rk"), pa.array(ids), pa.array([len(h) for h in found], pa.int64()), pa.array([sketch(h) for h in found], pa.binary()), pa.array(raw, pa.binary())], ["doc_id", "rk", "id", "n", "sketch", "hashes"])
+            columns = [some.column("doc_id"), some.column("rk"), pa.array(ids), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array([len(h) for h in found], pa.int64()), pa.array([sketch(h) for h in found], pa.binary()), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rk", "id", "fp", "n", "sketch", "hashes"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,15 +186,33 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialise(map_arrow(both, _verify, "u long, v long"), "near-links")
 
 
+def by_fingerprints(sets: DataFrame) -> DataFrame:
+    """The pairs u, v of near copies that SimHash finds: a set for each fingerprint, with those of linked fingerprints and with the others of its own."""
+    heads = materialise(sets.groupBy("fp").agg(F.min("id").alias("id")), "near-fingerprints")
+    head = lambda c, to: heads.select(F.col("fp").alias(c), F.col("id").alias(to))
+    linked = simhash.links(heads.select("fp")).join(head("u", "a"), "u").join(head("v", "b"), "v").where("a <> b")
+    alike = sets.select("fp", F.col("id").alias("b")).distinct().join(head("fp", "a"), "fp").where("a <> b")
+    return verified(linked.select("a", "b").union(alike.select("a", "b")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")), sets)
+
+
+def _new(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose sets the links found don't connect."""
+    roots = components(found)
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"of_{c}"))
+    both = pairs.join(root("u"), "u", "left").join(root("v"), "v", "left")
+    return both.where(~F.col("of_u").eqNullSafe(F.col("of_v")) | F.col("of_u").isNull()).select("u", "v")
+
+
 def links(sets: DataFrame) -> DataFrame:
-    """sets: id, n, sketch and hashes, the same set maybe in many rows. Gives u, v: edges whose components are those of all pairs of near copies."""
+    """sets: id, fp, n, sketch and hashes, the same set maybe in many rows. Gives u, v: edges whose components are those of all pairs of near copies."""
     counted = map_arrow(sets.select("hashes"), _count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << BUCKETS, np.int64)
     counts[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     firsts = materialise(map_arrow(sets, _prefixes(counts), "id long, n long, at long, h long"), "near-prefixes")
     shared = firsts.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
     met = materialise(firsts.join(shared, "h"), "near-places")
-    found = verified(_to(met.withColumn("root", F.col("id")), "least"), sets)
+    found = by_fingerprints(sets)
+    found = found.union(verified(_new(_to(met.withColumn("root", F.col("id")), "least").distinct(), found), sets))
     left = _apart(met, found)
     found = found.union(verified(_to(left, "most"), sets))
     left = _apart(left.drop("root"), found).select("h", "id", "n", "at", "root")
@@ -207,10 +238,10 @@ def _apart(rows: DataFrame, found: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row of docs for each component of near copies: that with the smallest doc_id; of rows with one doc_id and text, one."""
     key = "__inkgrid_rk"
-    rows = map_arrow(docs.select(F.col("doc_id").cast("long"), row_key(text=text).alias("rk"), F.col(text).alias("text")), _sets, "doc_id long, rk struct<a: bigint, b: bigint>, id long, n long, sketch binary, hashes binary")
+    rows = map_arrow(docs.select(F.col("doc_id").cast("long"), row_key(text=text).alias("rk"), F.col(text).alias("text")), _sets, "doc_id long, rk struct<a: bigint, b: bigint>, id long, fp long, n long, sketch binary, hashes binary")
     rows = materialise(rows, "near-sets")
     rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rk")
-    roots = components(links(rows.select("id", "n", "sketch", "hashes"))).withColumnRenamed("node", "id")
+    roots = components(links(rows.select("id", "fp", "n", "sketch", "hashes"))).withColumnRenamed("node", "id")
     grouped = rows.groupBy("id").agg(F.min(rank).alias("first")).join(roots, "id", "left")
     kept = grouped.groupBy(F.coalesce("root", "id")).agg(F.min("first").alias("first")).select(F.col("first.rk.a").alias("a"), F.col("first.rk.b").alias("b"))
     return keep_rows(docs, rows.select("rk.a", "rk.b"), kept, text)

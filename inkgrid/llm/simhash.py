@@ -15,7 +15,7 @@ component of documents without any doc_id has a null component_id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -44,12 +44,17 @@ def fingerprint(text: str | None) -> int:
     begins = np.concatenate(([0], ends[:-1] + 1))
     k = min(SHINGLE, len(tokens))
     spans = list(zip(begins[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True))
-    counts = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, len(spans), CHUNK):
-        hashes = np.array([digest(line[a:b], SEED) for a, b in spans[at : at + CHUNK]], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(spans), bitorder="little").view("<u8")[0])
+    return of_hashes(np.array([digest(line[a:b], SEED) for a, b in spans[at : at + CHUNK]], "<u8") for at in range(0, len(spans), CHUNK))
+
+
+def of_hashes(parts: Iterable[np.ndarray]) -> int:
+    """The 64-bit SimHash of shingles' hashes, given in parts; 0 without any."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        counts += np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,3 +70,25 @@ def test_pairs_left_after_the_stars(spark):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, id int, rk int, root int, h int")
     assert N.drop_near_copies(df).columns == df.columns and N.drop_near_copies(df).count() == 0
+
+
+def test_fingerprints_link_first(spark, monkeypatch):
+    """The stage goes through SimHash's covering: its links are near copies, and those of equal or close fingerprints are among them."""
+    rng = random.Random(5)
+    rows = []
+    for g in range(20):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        rows += [(10 * g, " ".join(words)), (10 * g + 1, " ".join(words[:-1])), (10 * g + 2, " ".join(words)), (10 * g + 3, " ".join(w[::-1] for w in words))]
+    rows += [(900, None), (901, "")]
+    seen = []
+    inner = N.by_fingerprints
+    monkeypatch.setattr(N, "by_fingerprints", lambda sets: seen.append((sets, inner(sets))) or seen[-1][1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in P.near_dedup(spark, docs, SF).collect()}
+    assert kept == brute(rows)
+    sets_, found = seen[0]
+    of = {r.id: (r.fp % 2**64, N.unpacked(r.hashes)) for r in sets_.collect()}
+    links = {tuple(sorted((r.u, r.v))) for r in found.collect()}
+    near = {(u, v) for u in of for v in of if u < v and (of[u][0] ^ of[v][0]).bit_count() <= N.simhash.THRESHOLD}
+    right = {(u, v) for u, v in near if 9 * len(set(of[u][1]) & set(of[v][1])) >= 4 * (len(of[u][1]) + len(of[v][1]))}
+    assert links == right and len(links) >= 10
