@@ -1,3 +1,4 @@
+import mmap
 import random
 import re
 import zlib
@@ -138,3 +139,24 @@ def test_empty_table_and_clashes(spark):
     assert lm.score(df).count() == 0
     one = spark.createDataFrame([(1, "x", 2, 3)], df.schema)
     assert lm.score(one).first().n_tokens == 2
+
+
+def test_model_is_mapped_from_the_broadcast(spark):
+    """Workers hold no copy of the model: they map the broadcast's file. Without such a file its bytes are read."""
+    bits, top, counts = lm.write_cell(np.arange(50, dtype=np.uint64), np.arange(1, 51)), np.array([9, 3, 7], np.uint64), np.array([4, 5, 6])
+    model = lm.Model(lm.Filter(bits, np.array([0, len(bits)])), top, counts, 15, 3)
+    filler = np.zeros(1 << 20, np.uint64)
+    large = lm.Model(lm.Filter(bits, np.array([0, len(bits)])), np.arange(1 << 17, dtype=np.uint64), filler[: 1 << 17].astype(np.int64), 15, 3)
+
+    def seen(m):
+        return m.top.tolist()[:3], m.counts.tolist()[:3], m.filter.levels(np.arange(60, dtype=np.uint64)).tolist(), m.n, m.v, m.mass
+
+    for m in (model, large):
+        b = spark.sparkContext.broadcast(m.packed())
+        assert seen(lm.Model.of(b)) == seen(m) and isinstance(memoryview(lm.Model.of(b).filter.bytes.base).obj, mmap.mmap)
+
+        class Held:
+            value = b.value
+
+        assert seen(lm.Model.of(Held)) == seen(m)
+    assert lm.Model.of(spark.sparkContext.broadcast(lm.Model(None, top, counts, 1, 2).packed())).filter is None
