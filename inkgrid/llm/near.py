@@ -32,6 +32,8 @@ from inkgrid.session import map_arrow, materialise
 
 SHINGLE, SEED = 5, 42
 BUCKETS, CHUNK, BYTES, PARTS = 16, 1 << 12, 6, 256
+#: Links (16 bytes each) up to which one task finds their components; more go through rounds of joins.
+FEW = 1 << 20
 
 
 def hashed(text: str | None) -> np.ndarray:
@@ -197,7 +199,7 @@ def by_fingerprints(sets: DataFrame) -> DataFrame:
 
 def _new(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs whose sets the links found don't connect."""
-    roots = components(found)
+    roots = components(found, FEW)
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"of_{c}"))
     both = pairs.join(root("u"), "u", "left").join(root("v"), "v", "left")
     return both.where(~F.col("of_u").eqNullSafe(F.col("of_v")) | F.col("of_u").isNull()).select("u", "v")
@@ -229,7 +231,7 @@ def _to(rows: DataFrame, c: str) -> DataFrame:
 
 def _apart(rows: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of those shingles whose sets aren't all connected by the links found, with the roots."""
-    roots = components(found).withColumnRenamed("node", "id")
+    roots = components(found, FEW).withColumnRenamed("node", "id")
     rooted = materialise(rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "near-roots")
     mixed = materialise(rooted.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h"), "near-mixed")
     return rooted.join(mixed, "h", "left_semi")
@@ -241,7 +243,7 @@ def drop_near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = map_arrow(docs.select(F.col("doc_id").cast("long"), row_key(text=text).alias("rk"), F.col(text).alias("text")), _sets, "doc_id long, rk struct<a: bigint, b: bigint>, id long, fp long, n long, sketch binary, hashes binary")
     rows = materialise(rows, "near-sets")
     rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rk")
-    roots = components(links(rows.select("id", "fp", "n", "sketch", "hashes"))).withColumnRenamed("node", "id")
+    roots = components(links(rows.select("id", "fp", "n", "sketch", "hashes")), FEW).withColumnRenamed("node", "id")
     grouped = rows.groupBy("id").agg(F.min(rank).alias("first")).join(roots, "id", "left")
     kept = grouped.groupBy(F.coalesce("root", "id")).agg(F.min("first").alias("first")).select(F.col("first.rk.a").alias("a"), F.col("first.rk.b").alias("b"))
     return keep_rows(docs, rows.select("rk.a", "rk.b"), kept, text)

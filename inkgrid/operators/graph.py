@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkgrid.session import materialise
+from inkgrid.session import map_arrow, materialise
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -27,14 +30,41 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of components, from all edges at once: roots of linked nodes are hooked onto the lesser one until none are apart."""
+    read = [np.stack([b.column(c).to_numpy() for c in ("u", "v")]) for b in batches if b.num_rows]
+    if not read:
+        return
+    nodes, ends = np.unique(np.concatenate(read, axis=1), return_inverse=True)
+    u, v = ends.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            break
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != root[root]).any():
+            root = root[root]
+    for at in range(0, len(nodes), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + (1 << 16)]), pa.array(nodes[root[at : at + (1 << 16)]])], ["node", "root"])
+
+
+def components(edges: DataFrame, few: int = 0) -> DataFrame:
     """edges: u, v. Gives node and root (the least node it is connected with) for nodes with an edge.
 
     Alternating large and small stars; a round's edges are written to the shared folder, and the rounds end when the
-    edges are stars around the roots. Their number grows with the logarithm of the nodes.
+    edges are stars around the roots. Their number grows with the logarithm of the nodes. Up to `few` edges (between longs)
+    go through one task instead, since rounds of nine stages over next to nothing load the driver more than the executors.
     """
     seen = None
-    edges = materialise(edges.where("u <> v").select("u", "v").distinct(), "components")
+    edges = edges.where("u <> v").select("u", "v")
+    if few:
+        edges = materialise(edges, "components")
+        if edges.count() <= few:
+            return materialise(map_arrow(edges.coalesce(1), _roots, "node long, root long"), "components-roots")
+    edges = materialise(edges.distinct(), "components")
     while True:
         state = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == seen or state[0] == 0:

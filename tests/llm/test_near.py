@@ -92,3 +92,22 @@ def test_fingerprints_link_first(spark, monkeypatch):
     near = {(u, v) for u in of for v in of if u < v and (of[u][0] ^ of[v][0]).bit_count() <= N.simhash.THRESHOLD}
     right = {(u, v) for u, v in near if 9 * len(set(of[u][1]) & set(of[v][1])) >= 4 * (len(of[u][1]) + len(of[v][1]))}
     assert links == right and len(links) >= 10
+
+
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    """Links up to FEW load the driver with no rounds of joins; more still do, with the same rows."""
+    from inkgrid.operators import graph
+
+    rng = random.Random(9)
+    rows = []
+    for g in range(8):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+        rows += [(10 * g, " ".join(words)), (10 * g + 1, " ".join(["x", *words[1:]])), (10 * g + 2, " ".join(words)), (10 * g + 3, " ".join([*words[:45], "y", *words[46:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rounds = []
+    inner = graph._large
+    monkeypatch.setattr(graph, "_large", lambda edges: rounds.append(1) or inner(edges))
+    kept = {r.doc_id for r in N.drop_near_copies(docs).collect()}
+    assert kept == brute(rows) == {10 * g for g in range(8)} and not rounds
+    monkeypatch.setattr(N, "FEW", 3)
+    assert {r.doc_id for r in N.drop_near_copies(docs).collect()} == kept and rounds

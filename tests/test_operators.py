@@ -284,3 +284,23 @@ def test_evaluation_is_out_of_reach_of_detection():
     users = {p.relative_to(root).as_posix() for p in root.rglob("*.py") if "evaluate" in p.read_text() and "import" in p.read_text() and p.name != "evaluate.py" and "operators.evaluate" in p.read_text()}
     assert users <= {"plans/relational.py"}
     assert not any("inkgrid.llm" in p.read_text() for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts)
+
+
+def test_components_of_few_edges(spark, monkeypatch):
+    """In one task and two writes, not in rounds; with the results of rounds, whatever the order, ids and repeats."""
+    rng = np.random.default_rng(4)
+    chain = [(i + 1, i) for i in range(300)]
+    star = [(10**6, 10**5 + i) for i in range(50)]
+    loose = [(int(a), int(b)) for a, b in rng.integers(-(2**62), 2**62, 40)[:, None] ^ rng.integers(0, 60, (40, 2))]
+    some = [(int(a) + 5000, int(b) + 5000) for a, b in rng.integers(0, 200, (120, 2))]
+    rows = [*chain, *star, *loose, *some, *some[:20], (7, 7), (None, 3)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([tuple(None if x is None else int(x) for x in r) for r in rows], "u long, v long").repartition(5)
+    writes = []
+    inner = graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda frame, name: writes.append(name) or inner(frame, name))
+    found = sorted(map(tuple, graph.components(df, len(rows)).collect()))
+    assert len(writes) == 2
+    assert found == sorted(map(tuple, graph.components(df).collect())) == sorted(map(tuple, graph.components(df, 10).collect()))
+    assert {r for n, r in found if 0 <= n <= 300} == {0} and len(writes) > 8
+    assert graph.components(df.limit(0), 10).count() == 0
