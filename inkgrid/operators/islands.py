@@ -30,7 +30,12 @@ def words(chars: DataFrame, keys: list[str], height: str, factor: float = 2.2, s
     can't tell spaces where half of the gaps or more are spaces ("A | B"). A line is one row of its characters in order.
     """
     known = F.max(spacing) if spacing else F.lit(None)
-    lines = chars.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.coalesce("char", F.lit("\ufffd")).alias("char")))).alias("c"), F.max(height).alias("tall"), known.cast("double").alias("known"))
+    c = F.array_sort(F.collect_list(F.struct("start", "end", F.coalesce("char", F.lit("\ufffd")).alias("char"))))
+    return words_of(chars.groupBy(*keys).agg(c.alias("c"), F.max(height).alias("tall"), known.cast("double").alias("known")), keys, factor, share)
+
+
+def words_of(lines: DataFrame, keys: list[str], factor: float = 2.2, share: float = 0.45) -> DataFrame:
+    """What words gives, of lines that have all their characters in order already: c (start, end and char of each), tall and known (the usual gap, or null)."""
     once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  value is computed once a line
     gaps = F.zip_with(F.slice("c", 2, F.size("c") - 1), F.slice("c", 1, F.size("c") - 1), lambda x, y: (x.start - y.end).cast("double"))
 

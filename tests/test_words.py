@@ -20,3 +20,12 @@ def test_words_without_known_spacing_go_by_the_median(spark):
     line = [(0, 0, 9, "a"), (0, 12, 20, "b"), (0, 23, 30, "c"), (0, 42, 50, None), (1, 0, 9, "a"), (1, 20, 29, "b")]
     df = spark.createDataFrame(line, "line int, start int, end int, char string").withColumn("height", F.lit(10))
     assert {r.line: r.text for r in words(df, ["line"], "height").collect()} == {0: "abc �", 1: "ab"}
+
+
+def test_word_gaps_shuffles_nothing(spark, tmp_path, capsys):
+    """A line's characters stay in its row, so that disk does not grow with them."""
+    spark.createDataFrame([(1, "a b\nc  d")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalogue.QUERIES["word_gaps"](spark, str(tmp_path))
+    df.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    assert sorted((r.line, r.text) for r in df.collect()) == [(0, "a b"), (1, "c d")]
