@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from inkgrid.functions import canon, geo
 from inkgrid.functions.geo import Box, Segment
 from inkgrid.operators import aggregates, graph, spatial
+from inkgrid.session import materialise, ship
+
+#: Signatures of one side of a meeting, about.
+BLOCK = 2048
 
 
 def _ends(df: DataFrame, keys: list[str], id_: str = "id") -> DataFrame:
@@ -132,23 +143,135 @@ def occurrences_on_sheet(texts: DataFrame, keys: list[str]) -> DataFrame:
     return texts.join(counts, same).drop(*(f"_{k}" for k in [*keys, "text"]))
 
 
-def like_signatures(glyphs: DataFrame, keys: list[str], most: float, signature: str = "signature", id_: str = "id") -> DataFrame:
-    """Pairs u < v of equal keys whose signatures are at most `most` apart in L1, with the distance.
+def _meetings(glyphs: DataFrame, keys: list[str], most: float, signature: str, id_: str) -> DataFrame:
+    """keys, id, s, side, own and the meeting (w, r, p, o, q) of every row: part p of range r of sums with part q of range r + o.
 
-    Such signatures have sums at most as far apart, so rows meet only in neighbouring ranges of sums.
+    Signatures of one width that are at most `most` apart have sums at most as far apart, so rows meet only in neighbouring
+    ranges of sums. A range has parts of about BLOCK rows, each of which meets every other once.
     """
     values = F.transform(signature, lambda x: x.cast("double"))
-    rows = glyphs.select(*keys, F.col(id_).alias("id"), values.alias("s")).withColumn("range", F.floor(F.aggregate("s", F.lit(0.0), lambda t, x: t + x) / most))
-    a = rows.select(*keys, F.col("id").alias("u"), F.col("s").alias("a"), F.explode(F.array(F.col("range") - 1, F.col("range"), F.col("range") + 1)).alias("range"))
-    b = rows.select(*keys, F.col("id").alias("v"), F.col("s").alias("b"), "range")
-    gap = F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda t, x: t + x)
-    return a.join(b, [*keys, "range"]).where("u < v").withColumn("distance", gap).where(F.col("distance") <= most).select(*keys, "u", "v", "distance")
+    rows = glyphs.select(*keys, F.col(id_).alias("id"), values.alias("s")).withColumns({"w": F.size("s"), "sum": F.aggregate("s", F.lit(0.0), lambda t, x: t + x)}).where(F.abs("sum") < float("inf"))
+    rows = rows.withColumn("r", F.floor(F.greatest(F.lit(-(2.0**62)), F.least(F.lit(2.0**62), F.col("sum") / most)))).drop("sum")
+    rows = rows.where(reduce(Column.__and__, (F.col(k).isNotNull() for k in [*keys, "id"])))
+    parts = materialise(rows.groupBy(*keys, "w", "r").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")), "signature-parts")
+    there = lambda o: parts.select(*keys, "w", (F.col("r") - o).alias("r"), F.col("parts").alias(f"parts{o}".replace("-", "_")))
+    rows = rows.join(there(0), [*keys, "w", "r"]).join(there(1), [*keys, "w", "r"], "left").join(there(-1), [*keys, "w", "r"], "left")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), "parts0"))
+    meeting = lambda r, p, o, q, side: F.struct(r.alias("r"), p.cast("long").alias("p"), F.lit(o).alias("o"), q.cast("long").alias("q"), F.lit(side).alias("side"))
+    r, own = F.col("r"), F.col("own")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    inside = F.concat(
+        F.transform(upto(own), lambda q: meeting(r, q, 0, own, 1)),
+        F.transform(F.sequence(own, F.col("parts0") - 1), lambda q: meeting(r, own, 0, q, 0)),
+    )
+    above = F.transform(upto(F.coalesce("parts1", F.lit(0).cast("long"))), lambda q: meeting(r, own, 1, q, 0))
+    below = F.transform(upto(F.coalesce("parts_1", F.lit(0).cast("long"))), lambda q: meeting(r - 1, q, 1, own, 1))
+    return rows.select(*keys, "w", "id", "s", F.explode(F.concat(inside, above, below)).alias("m")).select(*keys, "w", "id", "s", "m.*")
+
+
+def _near(most: float, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions of the pairs of rows of a and b that are at most `most` apart in L1, and their distances, a few rows of a at a time.
+
+    Single precision first, with room for its errors; what that leaves is added up in double precision from the first value on.
+    """
+    width = a.shape[1]
+    largest = max((float(np.abs(x).max(initial=0)) for x in (a, b)))
+    single = largest < 1e30
+    limit = most + (width + 2) * 2.0**-21 * (largest + most)
+    low_a, low_b = (np.ascontiguousarray(x.T.astype(np.float32)) if single else x.T for x in (a, b))
+    step = max(1, (1 << 17) // max(1, len(b)))
+    for at in range(0, len(a), step):
+        n = min(step, len(a) - at)
+        if single:
+            total, gap = np.zeros((n, len(b)), np.float32), np.empty((n, len(b)), np.float32)
+            for k in range(width):
+                np.subtract(low_a[k, at : at + n, None], low_b[k][None], out=gap)
+                np.abs(gap, out=gap)
+                total += gap
+            i, j = np.nonzero(total <= limit)
+        else:
+            i, j = (x.ravel() for x in np.indices((n, len(b))))
+        i += at
+        for cut in range(0, len(i), 1 << 16):
+            x, y = i[cut : cut + (1 << 16)], j[cut : cut + (1 << 16)]
+            distance = np.zeros(len(x))
+            with np.errstate(invalid="ignore", over="ignore"):
+                for k in range(width):
+                    distance += np.abs(a[x, k] - b[y, k])
+            right = distance <= most
+            yield x[right], y[right], distance[right]
+
+
+def _sides(table: pa.Table, width: int) -> list[tuple[pa.Array, np.ndarray]]:
+    """Ids and signatures of a meeting's two sides; both are one where a part meets itself."""
+    out = []
+    for side in (0, 1):
+        some = table.filter(pc.equal(table["side"], side)).combine_chunks()
+        values = pc.list_flatten(some["s"]).to_numpy().reshape(some.num_rows, width)
+        out.append((some["id"].to_numpy(), values))
+    return out
+
+
+def _pairs(keys: list[str], most: float, forest: bool):
+    """For each meeting: its pairs with their distances, or (forest) edges between u and v whose components are those of its pairs."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *names, width, r, p, o, q = key
+        table = pa.Table.from_batches(list(batches))
+        (ids, a), (others, b) = _sides(table, width.as_py())
+        same = o.as_py() == 0 and p.as_py() == q.as_py()
+        if same:
+            others, b = ids, a
+        kind = table.schema.field("id").type
+        if not forest:
+            for i, j, distance in _near(most, a, b):
+                u, v = np.minimum(ids[i], others[j]), np.maximum(ids[i], others[j])
+                kept = (ids[i] < others[j]) if same else (u != v)
+                m = int(kept.sum())
+                if m:
+                    columns = [*(pa.array([k.as_py()] * m, k.type) for k in names), pa.array(u[kept], kind), pa.array(v[kept], kind), pa.array(distance[kept])]
+                    yield pa.RecordBatch.from_arrays(columns, [*keys, "u", "v", "distance"])
+            return
+        every = ids if same else np.concatenate((ids, others))
+        shift, root = 0 if same else len(ids), np.arange(len(every))
+        for i, j, _ in _near(most, a, b):
+            j = j + shift
+            while True:
+                x, y = root[i], root[j]
+                apart = x != y
+                if not apart.any():
+                    break
+                i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+                np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+                while (root != root[root]).any():
+                    root = root[root]
+        u, v = every[root], every
+        moved = u != v
+        if moved.any():
+            yield pa.RecordBatch.from_arrays([pa.array(u[moved], kind), pa.array(v[moved], kind)], ["u", "v"])
+
+    return run
+
+
+def like_signatures(glyphs: DataFrame, keys: list[str], most: float, signature: str = "signature", id_: str = "id") -> DataFrame:
+    """Pairs u < v of equal keys whose signatures (of numbers; equally many) are at most `most` apart in L1, with the distance."""
+    met = _meetings(glyphs, keys, most, signature, id_)
+    ship(glyphs.sparkSession)
+    types = {f.name: f.dataType for f in met.schema}
+    schema = StructType([StructField(k, types[k]) for k in keys] + [StructField("u", types["id"]), StructField("v", types["id"]), StructField("distance", DoubleType())])
+    return met.groupBy(*keys, "w", "r", "p", "o", "q").applyInArrow(_pairs(keys, most, False), schema)
 
 
 def shape_clusters(glyphs: DataFrame, keys: list[str], most: float, same: Column | None = None) -> DataFrame:
     """glyphs with cluster: the least id that like signatures connect it with; same is a further test on the pairs' u, v and distance."""
-    pairs = like_signatures(glyphs, keys, most)
-    return graph.labelled(glyphs, pairs.where(same) if same is not None else pairs).withColumnRenamed("root", "cluster")
+    if same is not None:
+        links = like_signatures(glyphs, keys, most).where(same)
+    else:
+        met = _meetings(glyphs, keys, most, "signature", "id")
+        ship(glyphs.sparkSession)
+        kind = dict(met.dtypes)["id"]
+        links = met.groupBy(*keys, "w", "r", "p", "o", "q").applyInArrow(_pairs(keys, most, True), f"u {kind}, v {kind}")
+    return graph.labelled(glyphs, links).withColumnRenamed("root", "cluster")
 
 
 def coincident(lines: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@ import datetime
 import io
 import sys
 import zipfile
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
@@ -132,6 +133,26 @@ def test_k_nearest_goes_as_far_as_it_must(spark):
     assert {k: [b for _, b in sorted(v)] for k, v in got.items()} == {0: [1, 2], 1: [0, 2], 2: [1, 0], 3: [2, 1], 4: [3, 2]}
 
 
+def test_signatures_meet_in_parts_and_clusters_need_no_pairs(spark, monkeypatch):
+    """Parts of few rows, copies, repeated ids, nulls, NaN and other widths against all pairs; clusters against a walk over them."""
+    monkeypatch.setattr(S, "BLOCK", 7)
+    rng = np.random.default_rng(2)
+    rows = [(i, int(rng.integers(2)), rng.normal(0, 2, 3).tolist()) for i in range(120)] + [(200 + i, 1, [50.0, 1.0, 2.0]) for i in range(30)] + [(200, 1, [50.5, 1.0, 2.0])]
+    rows += [(300, 0, [0.0, 0.0]), (301, 0, [0.0, 1.0]), (302, 0, None), (303, 0, [None, 1.0, 1.0]), (304, 0, [float("nan"), 1.0, 1.0]), (305, 0, [float("inf"), 1.0, 1.0]), (306, 0, []), (307, 0, []), (308, 0, [1e300, 0.0, 0.0]), (309, 0, [1e300, 1.0, 0.0])]
+    good = [r for r in rows if r[2] is not None and all(x is not None and np.isfinite(x) for x in r[2])]
+    apart = lambda x, y: reduce(float.__add__, (abs(i - j) for i, j in zip(x, y, strict=True)), 0.0)  # noqa: E731  sum() would round otherwise
+    want = sorted((a[0], b[0], apart(a[2], b[2])) for a in good for b in good if a[0] < b[0] and a[1] == b[1] and len(a[2]) == len(b[2]) and apart(a[2], b[2]) <= 1.5)
+    df = spark.createDataFrame(rows, "id int, block int, signature array<double>")
+    assert sorted((r.u, r.v, r.distance) for r in S.like_signatures(df, ["block"], 1.5).collect()) == want
+    root = {r[0]: r[0] for r in rows}
+    for _ in rows:
+        for u, v, _ in want:
+            root[u] = root[v] = min(root[u], root[v])
+    assert {(r.id, r.cluster) for r in S.shape_clusters(df, ["block"], 1.5).collect()} == set(root.items())
+    met = S._meetings(df, ["block"], 1.5, "signature", "id").groupBy("block", "w", "r", "p", "o", "q").count()
+    assert met.agg({"count": "max"}).first()[0] < 80
+
+
 def test_like_signatures_equal_all_pairs(spark):
     rng = np.random.default_rng(1)
     rows = [(i, int(rng.integers(3)), rng.normal(0, 3, 4).tolist()) for i in range(150)]
