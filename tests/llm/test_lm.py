@@ -160,3 +160,17 @@ def test_model_is_mapped_from_the_broadcast(spark):
 
         assert seen(lm.Model.of(Held)) == seen(m)
     assert lm.Model.of(spark.sparkContext.broadcast(lm.Model(None, top, counts, 1, 2).packed())).filter is None
+
+
+def test_probes_go_to_ranges_of_cells_packed(spark, monkeypatch):
+    """A row for each group of texts and range of cells, not for each token and pair; scores equal those of the broadcast filter."""
+    rows = [(i, " ".join(f"w{(i * j * j) % 97}" for j in range(60)) if i % 7 else None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = {r.doc_id: (r.n_tokens, round(r.base_score, 6), round(r.score, 9)) for r in lm.score(docs).collect()}
+    kept, write = {}, lm.materialise
+    monkeypatch.setattr(lm, "BROADCAST", 0)
+    monkeypatch.setattr(lm, "PART", 4)
+    monkeypatch.setattr(lm, "materialise", lambda df, name: kept.setdefault(name, write(df, name)))
+    assert {r.doc_id: (r.n_tokens, round(r.base_score, 6), round(r.score, 9)) for r in lm.score(docs).collect()} == want
+    asked, groups = (kept["lm-scores"].where(f"kind = {k}").count() for k in (2, 3))
+    assert groups <= asked <= groups * 2 * 4 and kept["lm-scores"].where("kind = 2").select("part").distinct().count() == 4
