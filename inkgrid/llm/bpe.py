@@ -6,7 +6,8 @@ of lower rank would have crossed a boundary between two proposed tokens. Where n
 merging gives; only the other pieces are merged exactly. Null texts count as empty and give no ids.
 
 The vocabulary file is read on the driver and sent to the workers once (its size does not depend on the data).
-Each worker keeps the pieces it saw last, in two generations of CACHE pieces at most.
+A task keeps the pieces it saw last, in two generations of CACHE pieces at most, and forgets them when it ends, since
+workers outlive their tasks and would hold them beside the stages that follow.
 """
 
 from __future__ import annotations
@@ -85,6 +86,10 @@ class Vocabulary:
         self.old: dict[str, bytes] = {}
         self.merged = 0
 
+    def forget(self) -> None:
+        """Drops the pieces seen."""
+        self.new, self.old = {}, {}
+
     def _reachable(self) -> dict[str, int]:
         """The tokens that merging makes of their own characters, so that a proposal may use them."""
         made = np.flatnonzero(self.rank >= 0)
@@ -277,13 +282,16 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(spec.value)
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            texts = batch.column(at).to_pylist()
-            for a, b in _groups(texts):
-                packed = vocabulary.encode(texts[a:b])
-                extra = [pa.array(packed, pa.binary())] + ([pa.array(vocabulary.decode(packed), pa.string())] if decoded else [])
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *extra], [*batch.schema.names, ids, *([decoded] if decoded else [])])
+        try:
+            for batch in batches:
+                at = batch.schema.get_field_index(text)
+                texts = batch.column(at).to_pylist()
+                for a, b in _groups(texts):
+                    packed = vocabulary.encode(texts[a:b])
+                    extra = [pa.array(packed, pa.binary())] + ([pa.array(vocabulary.decode(packed), pa.string())] if decoded else [])
+                    yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *extra], [*batch.schema.names, ids, *([decoded] if decoded else [])])
+        finally:
+            vocabulary.forget()
 
     from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 

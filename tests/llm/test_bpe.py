@@ -51,3 +51,15 @@ def test_documents(spark):
         want = theirs.encode(r.text or "", add_special_tokens=False).ids
         assert bpe.np.frombuffer(r.ids, "<u4").tolist() == want and r.back == theirs.decode(want, skip_special_tokens=False)
     assert bpe.encode(docs.limit(0), PATH).count() == 0
+
+
+def test_workers_keep_no_pieces(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").repartition(4)
+    bpe.encode(docs, PATH).write.format("noop").mode("overwrite").save()
+
+    def held(batches):
+        for _ in batches:
+            yield bpe.pa.RecordBatch.from_pydict({"vocabularies": [len(bpe._LOADED)], "pieces": [sum(len(v.new) + len(v.old) for v in bpe._LOADED.values())]})
+
+    rows = bpe.map_arrow(spark.range(0, 64, 1, 4), held, "vocabularies long, pieces long").collect()
+    assert sum(r.vocabularies for r in rows) and not sum(r.pieces for r in rows)
