@@ -64,6 +64,71 @@ def test_nearest_equals_all_cosines(monkeypatch):
             assert [i for _, i in got] == [i for _, i in want] or np.allclose([c for c, _ in every[: T.NEIGHBOURS + 1]][-2:], got[-1][0], atol=1e-11) or len({round(c, 10) for c, _ in got}) < len(got)
 
 
+def test_frequent_words_cost_no_postings(monkeypatch):
+    """What a search walks through: postings of words that many examples have are nearly all of them, and none need a walk."""
+    rng, walked = random.Random(5), []
+    usual, rare = [f"{a}{b}" for a in "abcdefghij" for b in "uvwxyz"], [f"{a}{b}{c}" for a in "klmno" for b in "uvwxyz" for c in "pqrst"]
+    examples = [" ".join(rng.choices(usual, k=60) + rng.choices(rare, k=2)) for _ in range(400)]
+    monkeypatch.setattr(T, "spans", lambda starts, sizes, plain=T.spans: walked.append(int(sizes.sum())) or plain(starts, sizes))
+    monkeypatch.setattr(T, "DENSE", 60, raising=False)
+    model = T.Model([as_example(i, t, i % 3 == 0) for i, t in enumerate(examples)], {True: 1.0, False: 1.0})
+    texts = [" ".join(rng.choices(usual, k=60) + rng.choices(rare, k=2)) for _ in range(50)]
+    holders = Counter(w for t in examples for w in set(t.split()))
+    every = sum(holders[w] for t in texts for w in set(t.split()))
+    for t in texts:
+        model.index.nearest(*model.vector(*T.terms(t)), T.NEIGHBOURS)
+    assert sum(walked) <= every / 20
+
+
+def test_nearest_is_the_same_in_any_company(monkeypatch):
+    """Neighbours, with cosines to the last bit, by blocks of any size, by more or fewer dense terms, and with equal examples."""
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "uvwxyz"]
+    some = [" ".join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(150)]
+    examples = [(t, i % 3 == 0) for i, t in enumerate(some * 3)]
+    texts = some[:40] + [" ".join(rng.choices([*words, "unseen"], k=rng.randint(1, 30))) for _ in range(90)] + ["unseen"]
+    held, queries_ = plain_vectors(examples, texts)
+    for dense in (0, 1, 10, 512):
+        monkeypatch.setattr(T, "DENSE", dense)
+        model = T.Model([as_example(i, *e) for i, e in enumerate(examples)], {True: 1.0, False: 2.0})
+        vectors, got = [model.vector(*T.terms(t)) for t in texts], {}
+        for block in (1, 7, 64):
+            monkeypatch.setattr(T, "BLOCK", block)
+            got[block] = model.index.nearest_all(vectors, T.NEIGHBOURS)
+        assert got[1] == got[7] == got[64] == model.index.nearest_all(vectors[::-1], T.NEIGHBOURS)[::-1]
+        for q, near in zip(queries_, got[1], strict=True):
+            want = sorted(((round(dot(q, v), 9), i) for i, v in enumerate(held)), key=lambda x: (-x[0], x[1]))
+            assert [(round(c, 9), i) for c, i in near] == [x for x in want if x[0] > 0][: T.NEIGHBOURS]
+        but = model.index.nearest_all(vectors[:40], T.NEIGHBOURS, list(range(40)))
+        assert all(i not in [e for _, e in near] and i + 150 in [e for _, e in near] for i, near in enumerate(but))
+
+
+def test_read_equals_vector_of_terms(monkeypatch):
+    """Texts read together have the vectors of their terms, with spellings known before, forgotten or neither."""
+    odd = ["Stra\u00dfe, STRASSE! \u0130stanbul \u039f\u0394\u039f\u03a3 x\u00a0y\u2003z\u200bq", "don't e-mail_me 12ab34 x\u00b2 \u00bd\u2167 \u0663a", "a,b;c a, ,b c", "", None, " \t\n", "123 456 --", "\u6587\u5b57 abc\u6587", "new " * 500 + "words", "e\u0301 \U0001d49cx \U0001f600"]
+    examples = [as_example(i, t, i % 2 == 0) for i, t in enumerate([*odd, "some words here", "words, here"])]
+    for fitted in (examples, []):
+        model = T.Model(fitted, {True: 1.0, False: 1.0})
+        texts = [*odd, "others, others words: here", "Some WORDS here.", *odd[::-1]]
+        want = [model.vector(*T.terms(t)) if len(T.terms(t)[0]) else None for t in texts]
+        for most in (0, 3, 1 << 18):
+            monkeypatch.setattr(T, "TOKENS", most)
+            known = {}
+            for got in (model.read(texts, known), [v for t in texts for v in model.read([t], known)], model.read(texts, known)):
+                for g, w in zip(got, want, strict=True):
+                    assert (g is None) == (w is None)
+                    assert g is None or (g[0].tolist() == w[0].tolist() and g[1].tolist() == w[1].tolist())
+                assert len(known) <= max(most, len(texts) * 20)
+    assert model.read([], {}) == []
+
+
+def test_parts_hold_every_text(monkeypatch):
+    monkeypatch.setattr(T, "TOGETHER", 10)
+    texts = dict(enumerate(["x" * 4, "x" * 6, None, "x", "x" * 30, "x" * 30, "x", ""]))
+    assert list(T.parts(texts)) == [[0, 1, 2], [3], [4], [5], [6, 7]]
+    assert list(T.parts({})) == []
+
+
 def test_whole_query_equals_brute_force(spark):
     """Scores and evidence of the whole query on a fixture, from all cosines of all words."""
     rng = random.Random(9)
